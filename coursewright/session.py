@@ -20,7 +20,7 @@ DEFAULTS = {
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "coursewright", **conf: str) -> SparkSession:
     """A local session for tests and benches."""
     b = SparkSession.builder.master(master).appName(app)
-    for k, v in {**DEFAULTS, "spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false", **conf}.items():
+    for k, v in {**DEFAULTS, "spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
