@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.llm import mixing, tokens
+from coursewright.llm import canonical, mixing, tokens
 from coursewright.session import cut, table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    return canonical.map_labels(t("pyq_questions"), t("bloom_levels"), t("course_outcomes"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -36,7 +41,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p3_found, p6_ids, p7_found, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
