@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.llm import canonical, mixing, tokens
+from coursewright.llm import canonical, mixing, spans, tokens
 from coursewright.session import cut, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spans.question_records(table(spark, sf_dir, "pyq_questions"), table(spark, sf_dir, "generated_questions"))
+    return spans.shared_runs(records).select("rec.tab", "rec.rec_id", "start_pos", "n_chars")
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spans.question_records(table(spark, sf_dir, "pyq_questions"), table(spark, sf_dir, "generated_questions"))
+    return spans.record_shares(records, spans.shared_runs(records)).select("rec.tab", "rec.rec_id", "n_chars", "shared_chars", "share")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     return canonical.map_labels(t("pyq_questions"), t("bloom_levels"), t("course_outcomes"))
@@ -41,7 +51,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p6_ids, p7_found, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
