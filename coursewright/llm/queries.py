@@ -34,19 +34,19 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = mixing.repetition_rates(mixing.source_totals(_sized(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+    rates = mixing.repetition_rates(cut(mixing.source_totals(_sized(spark, sf_dir))), table(spark, sf_dir, "mix_targets"))
     return mixing.short_sources(rates)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(_sized(spark, sf_dir))
-    rates = mixing.repetition_rates(mixing.source_totals(sized), table(spark, sf_dir, "mix_targets"))
+    rates = mixing.repetition_rates(cut(mixing.source_totals(sized)), table(spark, sf_dir, "mix_targets"))
     return mixing.mixed_set(sized, rates)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(_sized(spark, sf_dir))
-    rates = mixing.repetition_rates(mixing.source_totals(sized), table(spark, sf_dir, "mix_targets"))
+    rates = mixing.repetition_rates(cut(mixing.source_totals(sized)), table(spark, sf_dir, "mix_targets"))
     return mixing.actual_shares(mixing.mixed_set(sized, rates), rates)
 
 
