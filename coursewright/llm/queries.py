@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.llm import canonical, mixing, spans, tokens
+from coursewright.llm import batches, canonical, mixing, spans, tokens
 from coursewright.session import cut, table
 
 
@@ -25,6 +25,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_labels(t("pyq_questions"), t("bloom_levels"), t("course_outcomes"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches.find_repeats(table(spark, sf_dir, "generated_questions"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -51,7 +55,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
