@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coursewright.session import cut
+
 UNMATCHED = "UNMATCHED"
 
 #: Edits allowed by the length of a form: (least length, edits).
@@ -79,7 +81,7 @@ def resolve(parts: DataFrame, forms: DataFrame) -> DataFrame:
     stand for none or for several is unmatched.  The unmatched are what an
     anti-join leaves over.
     """
-    matches = pigeonhole_matches(parts.select("scope", "key").distinct(), forms)
+    matches = cut(pigeonhole_matches(parts.select("scope", "key").distinct(), forms))
     least = matches.groupBy("scope", "key").agg(F.min("distance").alias("distance"))
     best = matches.join(least, ["scope", "key", "distance"])
     named = parts.join(best, ["scope", "key"]).groupBy("scope", "value").agg(F.collect_set("ref_id").alias("refs"), F.max(F.col("ref_id").isNull()).alias("dead"))
@@ -161,15 +163,11 @@ def code_forms(outcomes: DataFrame) -> DataFrame:
 
     Numbers without an entry are known forms that stand for none.
     """
-    spark = outcomes.sparkSession
-    spellings = spark.createDataFrame([(n, s) for n in range(LAST_NUMBER + 1) for s in {str(n), ROMAN[n], WORDS[n].upper()} if s], "n int, spelled string")
-    heads = spark.createDataFrame([("CO",), ("OUTCOME",), ("COURSEOUTCOME",)], "head string")
+    spelled_numbers = [F.struct(F.lit(n).alias("n"), F.lit(head + s).alias("form")) for n in range(LAST_NUMBER + 1) for s in sorted({str(n), ROMAN[n], WORDS[n].upper()} - {""}) for head in ("CO", "OUTCOME", "COURSEOUTCOME")]
     number = F.regexp_extract("short_id", r"([0-9]+)$", 1).cast("int")
     subjects = outcomes.select("subject").distinct()
     known = outcomes.select("subject", "co_id", number.alias("n"))
-    # both factors are fixed lists; the subjects' outcomes are joined by number
-    all_forms = spellings.join(heads).select("n", F.concat("head", "spelled").alias("form"))
-    spelled = subjects.join(all_forms).join(known, ["subject", "n"], "left").select("subject", "co_id", "form")
+    spelled = subjects.select("subject", F.inline(F.array(*spelled_numbers))).join(known, ["subject", "n"], "left").select("subject", "co_id", "form")
     printed = outcomes.select("subject", "co_id", _fold(F.regexp_replace(F.upper("printed_code"), r"\.", "~")).alias("form"))
     bare = printed.select("subject", "co_id", F.regexp_replace("form", "^C", "").alias("form"))
     long_head = F.length(F.regexp_replace("form", "[^A-Z]", "")) >= 8
@@ -180,14 +178,6 @@ def code_forms(outcomes: DataFrame) -> DataFrame:
 # ---- whole tables
 
 
-def map_column(rows: DataFrame, forms: DataFrame, keys: Column) -> DataFrame:
-    """``id, ref_id`` for ``rows`` (``id, scope, value``); values are mapped once each and joined back."""
-    distinct = rows.select("scope", "value").distinct()
-    parts = distinct.select("scope", "value", F.explode_outer(keys).alias("key"))
-    parts = parts.withColumn("key", F.coalesce("key", F.lit("")))
-    return rows.join(resolve(parts, forms), ["scope", "value"]).select("id", "ref_id")
-
-
 def map_labels(questions: DataFrame, levels: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``id, field, ref_id`` for the typed ``bloom_level`` and ``raw_co_code`` of question rows that aren't entries as they stand.
 
@@ -205,6 +195,15 @@ def map_labels(questions: DataFrame, levels: DataFrame, outcomes: DataFrame) ->
     typed_levels = latest.filter(~is_blank(F.col("bloom"))).join(levels.select(F.col("bloom_level").alias("bloom")), "bloom", "left_anti").select("id", F.lit("").alias("scope"), F.col("bloom").alias("value"))
     good = outcomes.select("subject", F.col("short_id").alias("code")).unionByName(outcomes.select("subject", F.col("printed_code").alias("code")))
     typed_codes = latest.filter(~is_blank(F.col("code"))).join(good, ["subject", "code"], "left_anti").select("id", F.col("subject").alias("scope"), F.col("code").alias("value"))
-    by_level = map_column(typed_levels, level_forms(levels), level_keys(F.col("value"))).withColumn("field", F.lit("bloom_level"))
-    by_code = map_column(typed_codes, code_forms(outcomes), code_keys(F.col("value"))).withColumn("field", F.lit("raw_co_code"))
-    return by_level.unionByName(by_code).select("id", "field", "ref_id")
+    typed = cut(typed_levels.select("id", F.lit("bloom_level").alias("field"), "scope", "value").unionByName(typed_codes.select("id", F.lit("raw_co_code").alias("field"), "scope", "value")))
+    # each distinct value is mapped once; levels have a scope of their own
+    values = typed.select("field", "scope", "value").distinct()
+    keys = F.when(F.col("field") == "bloom_level", level_keys(F.col("value"))).otherwise(code_keys(F.col("value")))
+    parts = cut(values.select(_scope(F.col("field"), F.col("scope")).alias("scope"), "value", F.explode_outer(keys).alias("key")).withColumn("key", F.coalesce("key", F.lit(""))))
+    forms = level_forms(levels).withColumn("scope", _scope(F.lit("bloom_level"), F.lit(""))).unionByName(code_forms(outcomes).withColumn("scope", _scope(F.lit("raw_co_code"), F.col("scope"))))
+    resolved = resolve(parts, cut(forms))
+    return typed.withColumn("scope", _scope(F.col("field"), F.col("scope"))).join(resolved, ["scope", "value"]).select("id", "field", "ref_id")
+
+
+def _scope(field: Column, scope: Column) -> Column:
+    return F.concat(field, F.lit("/"), scope)
