@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.llm import batches, canonical, mixing, spans, tokens
+from coursewright.llm import batches, canonical, mixing, mojibake, spans, tokens
 from coursewright.session import cut, table
 
 
@@ -54,8 +54,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.actual_shares(mixing.mixed_set(sized, rates), rates)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_only(mojibake.repair_column(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_only(mojibake.repair_column(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", "restored", "edges")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
