@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.llm import batches, canonical, mixing, mojibake, spans, tokens
+from coursewright.llm import batches, canonical, mixing, mojibake, scans, spans, tokens
 from coursewright.session import cut, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.line_kinds(table(spark, sf_dir, "pyq_pages"))[0]
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spans.question_records(table(spark, sf_dir, "pyq_questions"), table(spark, sf_dir, "generated_questions"))
     return spans.shared_runs(records).select("rec.tab", "rec.rec_id", "start_pos", "n_chars")
@@ -63,7 +67,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
