@@ -11,7 +11,11 @@ from coursewright.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.line_kinds(table(spark, sf_dir, "pyq_pages"))[0]
+    return scans.line_kinds(table(spark, sf_dir, "pyq_pages"))
+
+
+def p1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "pyq_pages"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

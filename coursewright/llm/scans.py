@@ -29,18 +29,21 @@ from coursewright.session import cut
 # What a glyph or pair of glyphs is misread as (from, to).
 CONFUSIONS = (
     ("c", "e"), ("(", "c"), ("(", "e"), ("f", "t"), ("o", "a"), ("5", "s"), ("!", "i"), ("0", "o"), ("l", "i"), ("1", "l"), ("b", "h"), ("cl", "d"), ("ii", "u"), ("6", "b"), ("9", "g"),
-    ("y", "v"), ("ri", "n"), ("rn", "m"), ("vv", "w"), ("m", "in"), ("m", "rn"), ("8", "b"), ("1", "i"), ("0", "a"), ("|", "l"), ("t", "f"), ("e", "c"), ("i", "l"), ("h", "b"), ("v", "y"), ("a", "o"),
+    ("y", "v"), ("ri", "n"), ("rn", "m"), ("vv", "w"), ("m", "in"), ("m", "rn"), ("8", "b"), ("1", "i"), ("0", "a"), ("|", "l"), ("t", "f"), ("e", "c"), ("i", "l"), ("h", "b"), ("h", "li"), ("d", "cl"), ("v", "y"), ("a", "o"),
 )
-_PAIR = re.compile("rn|ri|cl|vv|ii|in")
-_PAIRS = {"rn": "m", "ri": "n", "cl": "d", "vv": "w", "ii": "u", "in": "m"}
-_GLYPHS = str.maketrans({"e": "c", "(": "c", "f": "t", "a": "o", "0": "o", "5": "s", "i": "l", "1": "l", "!": "l", "|": "l", "h": "b", "6": "b", "8": "b", "9": "g", "q": "g", "y": "v"})
+# the pairs as they look once single glyphs are folded
+_PAIR = re.compile("rn|rl|cl|vv|ll|ln")
+_PAIRS = {"rn": "m", "rl": "n", "cl": "d", "vv": "w", "ll": "u", "ln": "m"}
+_GLYPHS = str.maketrans({"e": "c", "(": "c", "f": "t", "a": "o", "0": "o", "5": "s", "i": "l", "1": "l", "!": "l", "|": "l", "h": "u", "b": "u", "6": "u", "8": "u", "9": "g", "q": "g", "y": "v"})
 
 #: Lines from the top or the bottom of a page (blank ones aside) where titles and numbers stand.
 ZONE = 3
 #: How many times more papers must write the right form.
 FORM_RATIO, FORM_LEAST = 8, 5
 #: The same for groups of three letters, and for a paper's own identifiers.
-GRAM_RATIO, GRAM_LEAST = 12.0, 12
+GRAM_RATIO, GRAM_LEAST, NAME_RATIO = 12.0, 12, 60.0
+#: Confusions by which one form may come from another.
+MOST_CONFUSED = 2
 MARKS = "-‐\xad¬"
 
 _NUM = r"[0-9lIoOSsBbgz!|]{1,4}"
@@ -66,11 +69,11 @@ _CALL = re.compile(r"(?<=[0-9_])\(|\(\)|\)\(|\)")
 
 def skeleton(word: str) -> str:
     """``word`` with confusable glyphs made one; whitespace is left out."""
-    w = "".join(word.lower().split())
+    w = "".join(word.lower().split()).translate(_GLYPHS)
     while True:
         folded = _PAIR.sub(lambda m: _PAIRS[m.group()], w)
         if folded == w:
-            return folded.translate(_GLYPHS)
+            return folded
         w = folded
 
 
@@ -219,7 +222,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     plain = found.filter("style in ('bare', 'roman', 'slash')").withColumn("off", F.col("value") - F.col("page_no"))
     counts = plain.groupBy("paper", "style", "off").agg(F.count_distinct("page_id").alias("n"))
     best = counts.groupBy("paper", "style").agg(F.max(F.struct("n", -F.abs("off"), "off")).alias("m")).select("paper", "style", F.col("m.off").alias("off"), F.col("m.n").alias("n"))
-    alone = plain.join(best, ["paper", "style", "off"]).filter("n > 1 or off = 0 or (value between 1 and 12 and edge = 0 and style <> 'bare')")
+    alone = plain.join(best, ["paper", "style", "off"]).filter("n > 1 or off = 0 or (value between 1 and 12 and edge = 0)")
     told = found.filter("style not in ('bare', 'roman', 'slash')")
     return told.select("page_id", "line_no").union(alone.select("page_id", "line_no")).distinct()
 
@@ -259,7 +262,7 @@ def odd_by_itself(word: str, code: bool) -> bool:
         return True
     if len(word) == 1:
         return word in _LONE and not code
-    return bool(re.search(r"[A-Za-z][!#|][A-Za-z]|^[!|][a-z]{2}|[A-Za-z][0-9!#]+[a-z]{2}|[a-z][0-9][a-z]|^[0569][a-z]{2,}|[a-z]{2}[!|]$", word)) and not re.search(r"\d{2,}[a-z]", word)
+    return bool(re.search(r"[A-Za-z][!|][A-Za-z]|^[!|][a-z]{2}|[A-Za-z][0-9!]+[a-z]{2}|[a-z][0-9][a-z]|^[0569][a-z]{2,}|[a-z]{2}[!|]$", word)) and not re.search(r"\d{2,}[a-z]", word)
 
 
 def word_rows(flanked: DataFrame) -> DataFrame:
@@ -304,6 +307,7 @@ def better_reading(form: str, grams: dict[str, int]) -> tuple[str, int] | None:
     if len(core) < 4:
         return None
     padded = f"^{core}$"
+    ratio = GRAM_RATIO if core == form.lower() else NAME_RATIO  # identifiers join their parts more freely
     best = None
     for noise, true in CONFUSIONS:
         at = padded.find(noise, 1)
@@ -312,25 +316,57 @@ def better_reading(form: str, grams: dict[str, int]) -> tuple[str, int] | None:
             lo = max(0, at - 2)
             old_least = min(grams.get(padded[i : i + 3], 0) for i in range(lo, min(at + len(noise), len(padded) - 2)))
             new_least = min(grams.get(new[i : i + 3], 0) for i in range(lo, min(at + len(true), len(new) - 2)))
-            if new_least >= GRAM_LEAST and new_least >= GRAM_RATIO * max(old_least, 1) and (best is None or new_least > best[0]):
+            if new_least >= GRAM_LEAST and new_least >= ratio * max(old_least, 1) and (best is None or new_least > best[0]):
                 best = (new_least, new[1:-1] + form[len(core) :], at - 1)
             at = padded.find(noise, at + 1)
     return (best[1], best[2]) if best else None
 
 
+def confusions_between(form: str, right: str) -> int:
+    """The least number of confusions that make ``form`` of ``right``; a large number if none do."""
+    far = 99
+    form, right = form.lower(), right.lower()
+    cost = [[far] * (len(right) + 1) for _ in range(len(form) + 1)]
+    cost[0][0] = 0
+    for i in range(len(form) + 1):
+        for j in range(len(right) + 1):
+            c = cost[i][j]
+            if c >= far:
+                continue
+            if i < len(form) and j < len(right) and form[i] == right[j]:
+                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], c)
+            for noise, true in CONFUSIONS:
+                if form.startswith(noise, i) and right.startswith(true, j):
+                    cost[i + len(noise)][j + len(true)] = min(cost[i + len(noise)][j + len(true)], c + 1)
+    return cost[-1][-1]
+
+
+def _confusable(forms: DataFrame) -> DataFrame:
+    """The rows (``form, right``, ...) whose form may be a misread ``right``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("form").to_pylist(), batch.column("right").to_pylist()
+            yield batch.filter(pa.array([x != y and (x.lower() == y.lower() or confusions_between(x, y) <= MOST_CONFUSED) for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    return forms.mapInArrow(run, forms.schema)
+
+
 def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``form, right, at`` that are misread wherever they stand, and ``paper, form, right, at`` that are so in one paper."""
     by_paper = cut(words.groupBy("paper", "skel", "form").agg(F.count_distinct("page_id", "line_no").alias("n"), F.max((F.col("half") > 0).cast("int")).alias("joined")))
-    forms = cut(by_paper.groupBy("skel", "form").agg(F.count(F.lit(1)).alias("papers"), F.min("joined").alias("joined")))
+    # a name that its paper writes twice and no other way isn't doubted for its letters
+    forms = cut(by_paper.groupBy("skel", "form").agg(F.count(F.lit(1)).alias("papers"), F.max("n").alias("most"), F.min("joined").alias("joined")))
     leading = forms.groupBy("skel").agg(F.max(F.struct("papers", "form")).alias("m")).select("skel", F.col("m.form").alias("right"), F.col("m.papers").alias("right_papers"))
     by_form = forms.join(leading, "skel").filter((F.col("form") != F.col("right")) & (F.col("right_papers") >= F.greatest(F.lit(FORM_LEAST), FORM_RATIO * F.col("papers")))).select("form", "right")
+    by_form = _confusable(by_form)
     # letters in threes over the different words of all papers; their number is bounded by the alphabet
     core = F.regexp_replace(F.lower("form"), "[0-9]+$", "")
     types = forms.select(F.concat(F.lit("^"), core, F.lit("$")).alias("w"), "papers").filter(r"w rlike '^\\^[a-z_]{3,40}\\$$'").groupBy("w").agg(F.sum("papers").alias("papers"))
     grams = types.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, 3))).alias("g"), "papers").groupBy("g").agg(F.sum("papers").alias("n"))
     table = {r.g: r.n for r in grams.collect()}  # at most 28 ** 3 rows
     settled = by_form.select("form")
-    rare = forms.filter(F.col("papers") < 40).join(settled, "form", "left_anti").select("form")
+    rare = forms.filter((F.col("papers") < 40) & ((F.col("most") < 2) | ~F.col("form").rlike("[0-9]$"))).join(settled, "form", "left_anti").select("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +380,7 @@ def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     local = local.join(forms.filter("papers < 4").select("form"), "form", "left_semi")
     top = local.groupBy("paper", "skel").agg(F.max(F.struct("n", "form")).alias("m")).select("paper", "skel", F.col("m.form").alias("right"), F.col("m.n").alias("right_n"))
     in_paper = local.join(top, ["paper", "skel"]).filter((F.col("form") != F.col("right")) & (F.col("right_n") > F.col("n"))).select("paper", "form", "right")
-    return everywhere, cut(in_paper)
+    return everywhere, cut(_confusable(in_paper))
 
 
 def cut_words(flanked: DataFrame, words: DataFrame) -> DataFrame:
@@ -365,8 +401,7 @@ def cut_words(flanked: DataFrame, words: DataFrame) -> DataFrame:
     return rated.filter(F.coalesce("as_word", F.lit(0)) >= F.coalesce("as_compound", F.lit(0))).select("page_id", "line_no")
 
 
-def line_kinds(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``page_id, line_no, kind`` of all noisy lines, and the parsed lines."""
+def _analyse(pages: DataFrame) -> dict[str, DataFrame]:
     lines = cut(page_lines(pages))
     running, numbers = running_lines(lines), number_lines(lines)
     frame = cut(running.withColumn("kind", F.lit("running")).unionByName(numbers.withColumn("kind", F.lit("pageno"))))
@@ -375,10 +410,67 @@ def line_kinds(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = cut(word_rows(flanked))
     cuts = cut(cut_words(flanked, words))
     everywhere, in_paper = misread_forms(words)
-    place = F.length("form")  # halves: the line that holds the differing glyph
-    hit = words.join(everywhere, "form").select("page_id", "line_no", "form", "right", "half", "split").unionByName(words.join(in_paper, ["paper", "form"]).select("page_id", "line_no", "form", "right", "half", "split"))
-    differs = F.aggregate(F.sequence(F.lit(1), place), F.lit(0), lambda acc, i: F.when((acc == 0) & (F.substring("form", i, F.lit(1)) != F.substring("right", i, F.lit(1))), i).otherwise(acc))
-    hit = hit.filter((F.col("half") == 0) | ((differs <= F.col("split")) == (F.col("half") == 1)))
-    odd = words.filter("odd and half = 0").select("page_id", "line_no")
+    columns = ["page_id", "line_no", "form", "right", "half", "split"]
+    hit = words.join(everywhere, "form").select(*columns).unionByName(words.join(in_paper, ["paper", "form"]).select(*columns))
+    return {"lines": lines, "frame": frame, "body": body, "words": words, "cuts": cuts, "hits": hit}
+
+
+def line_kinds(pages: DataFrame) -> DataFrame:
+    """``page_id, line_no, kind`` of all noisy lines; see TESTDATA for the kinds. An empty table gives no rows."""
+    found = _analyse(pages)
+    # of a cut word the line that holds the differing glyph is the misread one
+    differs = F.aggregate(F.sequence(F.lit(1), F.length("form")), F.lit(0), lambda acc, i: F.when((acc == 0) & (F.substring("form", i, F.lit(1)) != F.substring("right", i, F.lit(1))), i).otherwise(acc))
+    hit = found["hits"].filter((F.col("half") == 0) | ((differs <= F.col("split")) == (F.col("half") == 1)))
+    odd = found["words"].filter("odd and half = 0").select("page_id", "line_no")
     misread = hit.select("page_id", "line_no").union(odd).distinct()
-    return frame.unionByName(cuts.withColumn("kind", F.lit("hyphen"))).unionByName(misread.withColumn("kind", F.lit("misread"))).select("page_id", "line_no", "kind"), lines
+    return found["frame"].unionByName(found["cuts"].withColumn("kind", F.lit("hyphen"))).unionByName(misread.withColumn("kind", F.lit("misread"))).select("page_id", "line_no", "kind")
+
+
+def restore_line(text: str, fixes: list[tuple[str, str]]) -> str:
+    """A line with its misread words written right, runs of blanks narrowed, and letters in its numbers turned to figures."""
+    for form, right in fixes:
+        pattern = re.compile(rf"(?<![A-Za-z0-9_]){re.escape(form)}(?![A-Za-z0-9_])", re.I)
+        text = pattern.sub(lambda m, r=right: r[:1].upper() + r[1:] if m.group()[:1].isupper() else r, text)
+    text = re.sub(r"(?<=\S)[ \t]{2,}", " ", text)
+    return re.sub(r"(?<![\w!|])(?=[lSsBOo!|I]*[0-9])[0-9lSsBOo!|I]{2,}(?![\w!|])", lambda m: m.group() if m.group().isdigit() else m.group().translate(_DIGITS), text)
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """``paper, paragraph, text, first_page, n_lines``: each paper as continuous paragraphs.
+
+    Running titles and page numbers are gone, cut words joined, misread words
+    written right.  A paragraph starts at a question's number, after a blank line
+    that follows a sentence's end, and around code, whose lines keep their breaks.
+    Lines are put together per page; only one row per page is ordered across
+    pages, so a paper of very many pages is no single large task.
+    """
+    found = _analyse(pages)
+    fixes = found["hits"].filter("half = 0").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right")).alias("fixes"))
+    body = found["body"].select("paper", "page_id", "page_no", "line_no", "text", "code").join(fixes, ["page_id", "line_no"], "left").join(found["cuts"].withColumn("cut", F.lit(True)), ["page_id", "line_no"], "left")
+    schema = T.StructType([body.schema[c] for c in ("paper", "page_id", "page_no", "line_no", "code", "cut")] + [T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [batch.column(n) for n in schema.names[:-1]]
+            texts = [restore_line(t, [(f["form"], f["right"]) for f in fx or []]) for t, fx in zip(batch.column("text").to_pylist(), batch.column("fixes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], names=schema.names)
+
+    restored = body.mapInArrow(run, schema)
+    on_page = Window.partitionBy("page_id").orderBy("line_no")
+    ended = F.lag(F.rtrim("text").rlike(r"[.?!:;)\]}]$")).over(on_page)
+    gap = F.col("line_no") > F.lag("line_no").over(on_page) + 1
+    starts = F.col("text").rlike(r"^\s*Q ?[0-9]+ ?[.:)]") | (gap & ended) | (F.col("code") != F.lag("code").over(on_page))
+    marked = restored.withColumn("start", F.coalesce(starts, F.lit(False)))
+    marked = marked.withColumn("own", F.max(F.when(F.col("start"), F.col("line_no"))).over(on_page))
+    last = marked.groupBy("paper", "page_id", "page_no").agg(F.max(F.when(F.col("start"), F.col("line_no"))).alias("last_start"))
+    over_pages = Window.partitionBy("paper").orderBy("page_no", "page_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per page
+    carried = last.withColumn("carry", F.last(F.when(F.col("last_start").isNotNull(), F.struct("page_id", "page_no", "last_start")), ignorenulls=True).over(over_pages)).select("page_id", "carry")
+    placed = marked.join(carried, "page_id").select(
+        "paper", "page_no", "page_id", "line_no", "text", "code", "cut",
+        F.when(F.col("own").isNotNull(), F.struct("page_no", "page_id", F.col("own").alias("line_no")))
+        .when(F.col("carry").isNotNull(), F.struct(F.col("carry.page_no").alias("page_no"), F.col("carry.page_id").alias("page_id"), F.col("carry.last_start").alias("line_no")))
+        .otherwise(F.struct(F.lit(0).alias("page_no"), F.lit("").alias("page_id"), F.lit(0).alias("line_no"))).alias("at"),
+    )
+    piece = F.when(F.col("code"), F.concat("text", F.lit("\n"))).when(F.col("cut"), F.regexp_replace(F.rtrim("text"), f"[{MARKS}]$", "")).otherwise(F.concat(F.rtrim("text"), F.lit(" ")))
+    one = placed.groupBy("paper", "at").agg(F.sort_array(F.collect_list(F.struct("page_no", "page_id", "line_no", piece.alias("piece")))).alias("parts"), F.count(F.lit(1)).alias("n_lines"))
+    return one.select("paper", F.format_string("%06d.%06d", F.col("at.page_no"), F.col("at.line_no")).alias("paragraph"), F.rtrim(F.array_join("parts.piece", "")).alias("text"), F.col("at.page_no").alias("first_page"), "n_lines")
