@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.plans import nested_records
+from coursewright.plans import nested_records, retrieval_queries, text_queries
 
-_MODULES = (nested_records,)
+_MODULES = (nested_records, text_queries, retrieval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
