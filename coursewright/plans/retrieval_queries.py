@@ -175,4 +175,19 @@ def filter_topic_reviewed(spark, d):
     return table(spark, d, "documents").filter((F.col("topic_id") == "OSK_02") & (F.coalesce("n_chars", F.lit(0)) > 0)).select("doc_id", "source", "lang")
 
 
+@query(f"""WITH {_BASE}, f AS (SELECT * FROM same WHERE coll = 'book'), core AS (SELECT *, marks <= 4 AS is_core FROM f), h AS (SELECT query_id, bool_or(is_core) AS has_core FROM core GROUP BY query_id),
+ m AS (SELECT core.*, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 3 = 0, dist, vec_id) AS r FROM core JOIN h USING (query_id) WHERE is_core OR NOT has_core), main AS (SELECT query_id, vec_id, CAST(r AS INT) AS rank, label FROM m WHERE r <= 3),
+ b AS (SELECT q.query_id, r.vec_id, r.dist, row_number() OVER (PARTITION BY q.query_id ORDER BY r.dist, r.vec_id) AS k FROM (SELECT DISTINCT query_id, label FROM main) q JOIN (SELECT q.vec_id AS query_id, r.vec_id, r.label, {_DIST} AS dist FROM q JOIN v r ON r.label = (q.label + 1) % 10) r USING (query_id))
+ SELECT query_id, vec_id, rank, 'main' AS role FROM main UNION ALL SELECT query_id, vec_id, CAST(k AS INT), 'blend' FROM b WHERE k <= 2""")
+def grounding_main_blend(spark, d):
+    """Grounding of a query: three core texts of its topic (advanced ones only where there is no core text; texts used before, here every third, last) and two of the blended topic."""
+    f = _same(spark, d).filter("coll = 'book'").withColumn("is_core", F.col("marks") <= 4)
+    has = f.groupBy("query_id").agg(F.bool_or("is_core").alias("has_core"))
+    usable = f.join(has, "query_id").filter("is_core or not has_core").withColumn("used", F.col("vec_id") % 3 == 0)
+    main = R.nearest(usable, "query_id", 3, ["used", "dist", "vec_id"])
+    q = _queries(spark, d).join(main.select("query_id").distinct(), "query_id", "left_semi").withColumn("label", (F.col("label") + 1) % 10)
+    blend = R.nearest(R.with_distance(R.in_blocks(q, _rows(spark, d), ["label"], "vec_id"), "q_e", "embedding"), "query_id", 2, ["dist", "vec_id"])
+    return main.select("query_id", "vec_id", "rank", F.lit("main").alias("role")).unionByName(blend.select("query_id", "vec_id", "rank", F.lit("blend").alias("role")))
+
+
 QUERIES, SQL = query.queries, query.sql
