@@ -354,7 +354,7 @@ def _confusable(forms: DataFrame) -> DataFrame:
 
 def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``form, right, at`` that are misread wherever they stand, and ``paper, form, right, at`` that are so in one paper."""
-    by_paper = cut(words.groupBy("paper", "skel", "form").agg(F.count_distinct("page_id", "line_no").alias("n"), F.max((F.col("half") > 0).cast("int")).alias("joined")))
+    by_paper = cut(words.groupBy("paper", "skel", "form").agg(F.sum((F.col("half") < 2).cast("int")).alias("n"), F.max((F.col("half") > 0).cast("int")).alias("joined")))
     # a name that its paper writes twice and no other way isn't doubted for its letters
     forms = cut(by_paper.groupBy("skel", "form").agg(F.count(F.lit(1)).alias("papers"), F.max("n").alias("most"), F.min("joined").alias("joined")))
     leading = forms.groupBy("skel").agg(F.max(F.struct("papers", "form")).alias("m")).select("skel", F.col("m.form").alias("right"), F.col("m.papers").alias("right_papers"))
