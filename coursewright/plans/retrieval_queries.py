@@ -19,6 +19,11 @@ _BASE = f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST
  same AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, r.txt AS txt, q.txt AS qtxt, r.coll AS coll, r.marks AS marks, r.needs_review AS needs_review, q.label AS label, {_DIST} AS dist FROM q JOIN v r ON q.label = r.label AND q.vec_id <> r.vec_id)"""
 
 
+def _similarity(places: int):
+    """Rounded with a hair added, so that halves go up in every engine."""
+    return F.round(cosine_from_l2(F.col("dist")) + 1e-9, places)
+
+
 def _rows(spark, d):
     v = table(spark, d, "embeddings")
     return v.select("vec_id", "label", "embedding", F.floor(F.col("vec_id") / 2).alias("txt"), F.when(F.col("vec_id") % 5 == 0, "tut").otherwise("book").alias("coll"), (F.col("vec_id") % 6 + 1).cast("int").alias("marks"), (F.col("vec_id") % 7 == 0).alias("needs_review"))
@@ -39,11 +44,11 @@ def knn_distinct(spark, d):
 
 
 @query(f"""WITH {_BASE}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM same), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, txt ORDER BY dist, vec_id) AS t FROM a WHERE r <= 6),
- c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM b WHERE t = 1) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(1 - dist / 2, 4) AS similarity FROM c WHERE rank <= 3""")
+ c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM b WHERE t = 1) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(1 - dist / 2 + 1e-9, 4) AS similarity FROM c WHERE rank <= 3""")
 def nearest_normalized(spark, d):
     """Twice the limit is fetched, then texts are made distinct: fewer than the limit may be left."""
     fetched = R.nearest(_same(spark, d), "query_id", 6, ["dist", "vec_id"])
-    return R.nearest_distinct(fetched, "query_id", "txt", 3, ["dist", "vec_id"]).select("query_id", "rank", "vec_id", F.round(cosine_from_l2(F.col("dist")), 4).alias("similarity"))
+    return R.nearest_distinct(fetched, "query_id", "txt", 3, ["dist", "vec_id"]).select("query_id", "rank", "vec_id", _similarity(4).alias("similarity"))
 
 
 @query(f"""WITH {_BASE}, pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM same), k AS (SELECT *, abs(marks - 5) > 1 AS differs FROM pool WHERE r <= 12),
@@ -56,17 +61,17 @@ def similar_pyqs(spark, d):
 
 
 @query(f"""WITH {_BASE}, s AS (SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS dist FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
- SELECT vec_id, dist, round(1 - dist / 2, 6) AS similarity FROM s""")
+ SELECT vec_id, dist, round(1 - dist / 2 + 1e-9, 6) AS similarity FROM s""")
 def cosine_from_l2_pairs(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
     b = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
     s = v.join(b, "vec_id").select("vec_id", F.round(squared_l2(F.col("a"), F.col("b")), 6).alias("dist"))
-    return s.withColumn("similarity", F.round(cosine_from_l2(F.col("dist")), 6))
+    return s.withColumn("similarity", _similarity(6))
 
 
 _ALL = f"allp AS (SELECT q.vec_id AS query_id, q.label AS own, r.label AS topic, r.vec_id, r.txt, {_DIST} AS dist FROM q JOIN v r ON q.vec_id <> r.vec_id AND NOT r.needs_review)"
 _SCORES = f"""{_ALL}, td AS (SELECT *, row_number() OVER (PARTITION BY query_id, topic, txt ORDER BY dist, vec_id) AS t FROM allp), tk AS (SELECT *, row_number() OVER (PARTITION BY query_id, topic ORDER BY dist, vec_id) AS r FROM td WHERE t = 1),
- scores AS (SELECT query_id, own, topic, round(avg(1 - dist / 2), 4) AS score FROM tk WHERE r <= 3 GROUP BY ALL)"""
+ scores AS (SELECT query_id, own, topic, round(avg(1 - dist / 2) + 1e-9, 4) AS score FROM tk WHERE r <= 3 GROUP BY ALL)"""
 
 
 def _scores(spark, d):
@@ -75,7 +80,7 @@ def _scores(spark, d):
     pairs = R.with_distance(R.in_blocks(q, _rows(spark, d).filter("not needs_review").withColumnRenamed("label", "topic"), [], "txt").filter("query_id <> vec_id"), "q_e", "embedding")
     one = pairs.withColumn("t", F.row_number().over(Window.partitionBy("query_id", "topic", "txt", "_block").orderBy("dist", "vec_id"))).filter("t = 1")
     top = R.nearest(one, "query_id", 3, ["dist", "vec_id"], ["topic"])
-    return top.groupBy("query_id", "own", "topic").agg(F.round(F.avg(cosine_from_l2(F.col("dist"))), 4).alias("score"))
+    return top.groupBy("query_id", "own", "topic").agg(F.round(F.avg(cosine_from_l2(F.col("dist"))) + 1e-9, 4).alias("score"))
 
 
 @query(f"WITH {_BASE}, {_SCORES} SELECT query_id, topic, score FROM scores")
@@ -108,12 +113,12 @@ def choose_blend(spark, d):
     return r.filter("r = 1 and n >= 2").select("query_id", F.col("topic").alias("blend"), "score")
 
 
-_PAIRS = "near AS (SELECT query_id, vec_id, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM same WHERE txt <> qtxt), pairs AS (SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, min(round(1 - dist / 2, 4)) AS similarity FROM near WHERE r = 1 GROUP BY ALL)"
+_PAIRS = "near AS (SELECT query_id, vec_id, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM same WHERE txt <> qtxt), pairs AS (SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, min(round(1 - dist / 2 + 1e-9, 4)) AS similarity FROM near WHERE r = 1 GROUP BY ALL)"
 
 
 def _pairs(spark, d):
     near = R.nearest(_same(spark, d).filter("txt <> qtxt"), "query_id", 1, ["dist", "vec_id"])
-    return near.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.min(F.round(cosine_from_l2(F.col("dist")), 4)).alias("similarity"))
+    return near.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.min(_similarity(4)).alias("similarity"))
 
 
 @query(f"WITH {_BASE}, {_PAIRS} SELECT a, b, similarity FROM pairs")
@@ -133,7 +138,7 @@ _GRAMS = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w
 
 @query(f"""WITH {_BASE}, t AS (SELECT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id, coll ORDER BY dist, vec_id) AS r FROM same),
- o AS (SELECT query_id, coll, vec_id, round(1 - dist / 2, 4) AS similarity, CASE WHEN len(a.g) > 0 THEN len(list_intersect(a.g, b.g)) / CAST(len(a.g) AS DOUBLE) ELSE 0.0 END AS overlap FROM k LEFT JOIN t a ON a.doc_id = query_id LEFT JOIN t b ON b.doc_id = vec_id WHERE r <= 3),
+ o AS (SELECT query_id, coll, vec_id, round(1 - dist / 2 + 1e-9, 4) AS similarity, CASE WHEN len(a.g) > 0 THEN len(list_intersect(a.g, b.g)) / CAST(len(a.g) AS DOUBLE) ELSE 0.0 END AS overlap FROM k LEFT JOIN t a ON a.doc_id = query_id LEFT JOIN t b ON b.doc_id = vec_id WHERE r <= 3),
  p AS (SELECT query_id, coll, arg_max(vec_id, (similarity, overlap, -vec_id)) AS closest, max(similarity) AS similarity, bool_or(similarity >= 0.78 OR overlap >= 0.5) AS is_duplicate FROM o GROUP BY ALL) SELECT query_id, coll, closest, similarity, is_duplicate FROM p""")
 def dedup_check(spark, d):
     """Per place the three nearest; a duplicate by similarity or by shared wording."""
@@ -141,7 +146,7 @@ def dedup_check(spark, d):
     t = table(spark, d, "documents").select("doc_id", word_ngrams(F.col("text")).alias("g"))
     o = near.join(t.select(F.col("doc_id").alias("query_id"), F.col("g").alias("ga")), "query_id", "left").join(t.select(F.col("doc_id").alias("vec_id"), F.col("g").alias("gb")), "vec_id", "left")
     none = F.array().cast("array<string>")
-    o = o.withColumn("similarity", F.round(cosine_from_l2(F.col("dist")), 4)).withColumn("overlap", containment(F.coalesce("ga", none), F.coalesce("gb", none)))
+    o = o.withColumn("similarity", _similarity(4)).withColumn("overlap", containment(F.coalesce("ga", none), F.coalesce("gb", none)))
     return o.groupBy("query_id", "coll").agg(F.max_by("vec_id", F.struct("similarity", "overlap", -F.col("vec_id"))).alias("closest"), F.max("similarity").alias("similarity"), F.bool_or((F.col("similarity") >= 0.78) | (F.col("overlap") >= 0.5)).alias("is_duplicate"))
 
 
