@@ -143,29 +143,57 @@ def suspect_page_range(spark, d):
 
 
 _W = "regexp_extract_all(lower(coalesce(t, '')), '[a-z0-9]+')"
-_TRI = "CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE []::VARCHAR[] END"
 
 
-@query(f"""WITH a AS (SELECT id AS rec, metadata.subject AS subject, arg_max(document, loaded_at) AS t FROM pyq_questions WHERE metadata.type = 'question' AND id IS NOT NULL GROUP BY ALL), b AS (SELECT bank_id AS rec, arg_max(subject, loaded_at) AS subject, arg_max(question, loaded_at) AS t FROM generated_questions GROUP BY bank_id),
- ga AS (SELECT rec, subject, {_TRI} AS g FROM (SELECT rec, subject, {_W} AS w FROM a)), gb AS (SELECT rec, subject, {_TRI} AS g FROM (SELECT rec, subject, {_W} AS w FROM b)), j AS (SELECT gb.rec AS bank_id, ga.rec AS id, len(list_intersect(gb.g, ga.g)) AS s, len(gb.g) AS n FROM gb JOIN ga USING (subject) WHERE len(gb.g) > 0)
- SELECT bank_id, id, round(s / CAST(n AS DOUBLE), 6) AS overlap FROM j WHERE s * 2 >= n""")
-def trigram_overlap(spark, d):
-    """Past questions of the same subject that hold at least half of a bank question's word trigrams.
+def _grams_sql(n: int) -> str:
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram})) ELSE []::VARCHAR[] END"
+
+
+def _overlap_sql(n: int, least: str, which: str) -> str:
+    return f"""WITH a AS (SELECT id AS rec, metadata.subject AS subject, arg_max(document, loaded_at) AS t FROM pyq_questions WHERE metadata.type = 'question' AND id IS NOT NULL GROUP BY ALL), b AS (SELECT bank_id AS rec, arg_max(subject, loaded_at) AS subject, arg_max(question, loaded_at) AS t FROM generated_questions WHERE {which} GROUP BY bank_id),
+ ga AS (SELECT rec, subject, {_grams_sql(n)} AS g FROM (SELECT rec, subject, {_W} AS w FROM a)), gb AS (SELECT rec, subject, {_grams_sql(n)} AS g FROM (SELECT rec, subject, {_W} AS w FROM b)), j AS (SELECT gb.rec AS bank_id, ga.rec AS id, len(list_intersect(gb.g, ga.g)) AS s, len(gb.g) AS n FROM gb JOIN ga USING (subject) WHERE len(gb.g) > 0)
+ SELECT bank_id, id, round(s / CAST(n AS DOUBLE), 6) AS overlap FROM j WHERE s / CAST(n AS DOUBLE) >= {least}"""
+
 
-    Of each bank question only the rarest trigrams are looked up, as many as make
-    one of them sure to be shared; common wordings so never meet one another.
+def _overlap(a, b, n: int, least: float):
+    """Rows of ``a`` (``id, subject, text``) that hold at least ``least`` of the shingles of a row of ``b`` (``bank_id, subject, text``).
+
+    Of each row of ``b`` only the rarest shingles are looked up, as many as make
+    one of them sure to be shared; common wordings so seldom meet one another.
     """
-    a = _questions(spark, d).select("id", F.col("metadata.subject").alias("subject"), word_ngrams(F.col("document")).alias("g"))
-    b = table(spark, d, "generated_questions").groupBy("bank_id").agg(F.max_by(F.struct("subject", "question"), "loaded_at").alias("m")).select("bank_id", "m.subject", word_ngrams(F.col("m.question")).alias("g")).filter(F.size("g") > 0)
+    a = a.select("id", "subject", word_ngrams(F.col("text"), n).alias("g"))
+    b = b.select("bank_id", "subject", word_ngrams(F.col("text"), n).alias("g")).filter(F.size("g") > 0)
     ea = a.select("id", "subject", F.explode("g").alias("t"))
     eb = b.select("bank_id", "subject", F.size("g").alias("n"), F.explode("g").alias("t"))
     df = ea.groupBy("subject", "t").agg(F.count(F.lit(1)).alias("df"))
     known = eb.join(df, ["subject", "t"], "left").withColumn("r", F.row_number().over(Window.partitionBy("bank_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
-    prefix = known.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1) & F.col("df").isNotNull())
+    prefix = known.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & F.col("df").isNotNull())
     cand = prefix.join(ea, ["subject", "t"]).select("bank_id", "id").distinct()
-    shared = F.size(F.array_intersect("gb", "ga"))
+    shared = F.size(F.array_intersect("gb", "ga")) / F.size("gb")
     j = cand.join(b.select("bank_id", F.col("g").alias("gb")), "bank_id").join(a.select("id", F.col("g").alias("ga")), "id")
-    return j.filter(shared * 2 >= F.size("gb")).select("bank_id", "id", F.round(shared / F.size("gb"), 6).alias("overlap"))
+    return j.filter(shared >= least).select("bank_id", "id", F.round(shared, 6).alias("overlap"))
+
+
+def _past(spark, d):
+    return _questions(spark, d).select("id", F.col("metadata.subject").alias("subject"), F.col("document").alias("text"))
+
+
+def _bank(spark, d, which="true"):
+    b = table(spark, d, "generated_questions").filter(which).groupBy("bank_id").agg(F.max_by(F.struct("subject", F.col("question").alias("text")), "loaded_at").alias("m"))
+    return b.select("bank_id", "m.subject", "m.text")
+
+
+@query(_overlap_sql(5, "0.8", "true"))
+def shingle_overlap(spark, d):
+    """Past questions that hold at least 0.8 of a bank question's five-word shingles."""
+    return _overlap(_past(spark, d), _bank(spark, d), 5, 0.8)
+
+
+@query(_overlap_sql(3, "0.5", "regexp_matches(bank_id, '[024]0$')"))
+def trigram_overlap(spark, d):
+    """The same by word trigrams and one half, for the bank questions whose number is divisible by 20 against all past questions."""
+    return _overlap(_past(spark, d), _bank(spark, d, "bank_id rlike '[024]0$'"), 3, 0.5)
 
 
 QUERIES, SQL = query.queries, query.sql

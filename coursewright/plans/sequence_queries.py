@@ -44,6 +44,7 @@ def running_lines(spark, d):
     return S.running_keys(edge, "paper", "page_id")
 
 
+# How a figure's label, a contents line, a page number and a chapter's outline are written.
 _LABEL = r"^(?:[A-Za-z0-9]{1,3}|[0-9]+(?:\.[0-9]+)?|[0-9]+,[0-9]+|\*+|\})$"
 
 
@@ -54,6 +55,7 @@ def drop_label_runs(spark, d):
     return S.drop_runs(l, "page_id", F.trim("line").rlike(_LABEL), 2).select("page_id", "line_no")
 
 
+# See above.
 _LEADER, _NUMBER, _OUTLINE = r"(?:\.\s?){5,}\s*\S{0,8}\s*$", r"^(?:[0-9]{1,4}|[0-9]{1,3}-[0-9]{1,4}|(?i:[ivxlcdm]{1,7}))$", r"\S\s+[•·]\s+\S"
 
 

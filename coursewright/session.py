@@ -45,13 +45,3 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: later jobs neither recompute it nor depend on an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
-
-
-def spread(df: DataFrame, rows_hint: int | None = None) -> DataFrame:
-    """``df`` over at least as many partitions as the session shuffles into, for work that is heavy per row.
-
-    Small files are read as few splits; a Python stage over them would use few cores.
-    """
-    spark = df.sparkSession
-    want = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(want)

@@ -50,7 +50,7 @@ def test_numbering():
 
 @pytest.mark.parametrize(("text", "ok"), [("5 + 8 = 12", False), ("5 + 8 = 13", True), ("(0+9)/2 = 4", True), ("10/3 = 3.33", True), ("10/3 = 3.34", False), ("2^10 = 1024", True), ("max(3, 4) = 4", True)])
 def test_calculations(text, ok):
-    (c,) = P.calculations(f"So {text}." if text[0] != "S" and False else text)
+    (c,) = P.calculations(text)
     assert c["ok"] is ok
 
 
