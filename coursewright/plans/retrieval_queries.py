@@ -106,7 +106,7 @@ def decide_topic(spark, d):
  SELECT query_id, topic AS blend, score FROM r WHERE r = 1 AND n >= 2""")
 def choose_blend(spark, d):
     """The best-fitting of three candidate topics; none where fewer than two have text."""
-    cand = F.col("topic").isin([-1]) | (F.pmod(F.col("topic") - F.col("own"), F.lit(10)).between(1, 3))
+    cand = F.pmod(F.col("topic") - F.col("own"), F.lit(10)).between(1, 3)
     c = _scores(spark, d).filter(cand)
     w = Window.partitionBy("query_id")
     r = c.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "topic"))).withColumn("n", F.count(F.lit(1)).over(w))

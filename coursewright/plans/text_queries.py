@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from coursewright.functions import text as X
+from coursewright.plans.registry import Registry
 from coursewright.session import table
 
-Q, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
+query = Registry()
 
 
 def _regex_alternatives(s: str) -> str:
@@ -183,11 +175,9 @@ def outline_flags(spark, d):
 def quote_in_source(spark, d):
     """Of every question, whether its first sentence stands in its own text and in another question of its topic."""
     q = table(spark, d, "generated_questions").groupBy("bank_id").agg(F.max_by(F.struct("topic_id", "question"), "loaded_at").alias("m")).select("bank_id", "m.*")
-    from pyspark.sql import Window
-
     q = q.withColumn("other", F.lag("question").over(Window.partitionBy("topic_id", F.substring(F.sha1("bank_id"), 1, 2)).orderBy("bank_id")))
     quote = F.regexp_extract(F.coalesce("question", F.lit("")), r"^[^.?!]*[.?!]", 0)
     return q.select("bank_id", X.quote_in_source(quote, F.col("question")).alias("in_own"), X.quote_in_source(quote, F.col("other")).alias("in_other"))
 
 
-QUERIES = Q
+QUERIES, SQL = query.queries, query.sql
