@@ -75,8 +75,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be stated in SQL over the given tables without the operator itself."""
-    return {}
+    """Where a result can be stated in SQL over the given tables at all; the others are tested against brute force and round trips."""
+    records = """r AS (SELECT 'pyq_questions' AS tab, id AS rec_id, arg_max(document, loaded_at) AS t FROM pyq_questions WHERE metadata.type = 'question' AND id IS NOT NULL GROUP BY id
+      UNION ALL SELECT 'generated_questions', bank_id, arg_max(question, loaded_at) FROM generated_questions WHERE question <> '' AND bank_id IS NOT NULL GROUP BY bank_id)"""
+    runs = f"""{records}, w AS (SELECT tab, rec_id, i, substr(t, i, 100) AS s FROM r, LATERAL (SELECT unnest(range(1, length(t) - 98)) AS i) x WHERE length(t) >= 100),
+      twice AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT tab || rec_id) > 1), h AS (SELECT tab, rec_id, i FROM w SEMI JOIN twice USING (s)),
+      g AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY tab, rec_id ORDER BY i) + 100, true) AS new FROM h), n AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY tab, rec_id ORDER BY i) AS run FROM g),
+      runs AS (SELECT tab, rec_id, min(i)::INT AS start_pos, (max(i) - min(i) + 100)::INT AS n_chars FROM n GROUP BY tab, rec_id, run)"""
+    return {
+        "p2_found": f"WITH {runs} SELECT tab, rec_id, start_pos, n_chars FROM runs",
+        "p2_shares": f"""WITH {runs}, s AS (SELECT tab, rec_id, sum(n_chars)::BIGINT AS k FROM runs GROUP BY ALL)
+          SELECT r.tab, r.rec_id, coalesce(length(t), 0)::INT AS n_chars, coalesce(k, 0) AS shared_chars, CASE WHEN coalesce(length(t), 0) > 0 THEN round(coalesce(k, 0) / length(t), 6) ELSE 0.0::DOUBLE END AS share FROM r LEFT JOIN s USING (tab, rec_id)""",
+    }
 
 
 __all__ = ["oracle_sql", "queries"]
