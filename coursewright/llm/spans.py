@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 
 from coursewright.session import cut
 
+#: Characters hashed at a time.
+GROUP_CHARS = 1_000_000
 #: Odd multipliers of the gram hashes; the number of hash functions is ``hashes``.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -81,21 +83,36 @@ def window_table(records: DataFrame, least: int, gram: int, hashes: int) -> Data
     schema = T.StructType([records.schema["rec"], *(T.StructField(n, t, False) for n, t in (("fn", T.IntegerType()), ("token", T.LongType()), ("lo", T.IntegerType()), ("hi", T.IntegerType())))])
     tokens = least - gram + 1
 
+    def windows_of(recs: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        # the texts of a group are hashed in one go; grams that run over a text's end are never looked at
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        take, fn, token, lo, hi = [], [], [], [], []
+        for k in range(hashes):
+            every = gram_hashes(points, gram, _MIX[k])
+            at = 0
+            for i, text in enumerate(texts):
+                h = every[at : at + len(text) - gram + 1]
+                at += len(text)
+                for a, c, b in compact_windows(h, tokens):
+                    take.append(i)
+                    fn.append(k)
+                    token.append(h[c])
+                    lo.append(a)
+                    hi.append(b + gram - 1)
+        found = pa.array(np.array(token, dtype=np.uint64).astype(np.int64))
+        return pa.RecordBatch.from_arrays([recs.take(pa.array(take, pa.int32())), pa.array(fn, pa.int32()), found, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recs, texts = batch.column(0), batch.column(1)
-            take, fn, token, lo, hi = [], [], [], [], []
-            for i, text in enumerate(texts):
-                points = np.frombuffer(text.as_py().encode("utf-32-le"), dtype=np.uint32)
-                for k in range(hashes):
-                    h = gram_hashes(points, gram, _MIX[k])
-                    for a, c, b in compact_windows(h, tokens):
-                        take.append(i)
-                        fn.append(k)
-                        token.append(int(h[c].astype(np.int64)))
-                        lo.append(a)
-                        hi.append(b + gram - 1)
-            yield pa.RecordBatch.from_arrays([recs.take(pa.array(take, pa.int32())), pa.array(fn, pa.int32()), pa.array(token, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=schema.names)
+            group, start, size = [], 0, 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                group.append(text)
+                size += len(text)
+                if size >= GROUP_CHARS:
+                    yield windows_of(batch.column(0).slice(start, len(group)), group)
+                    group, start, size = [], i + 1, 0
+            if group:
+                yield windows_of(batch.column(0).slice(start, len(group)), group)
 
     return records.select("rec", "text").mapInArrow(run, schema)
 
