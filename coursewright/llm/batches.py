@@ -35,8 +35,8 @@ from coursewright.session import cut
 BLOCK_BITS, BLOCKS = 16, 4
 #: Bits in which two fingerprints may differ to go on to the texts.
 MAX_DISTANCE = 16
-#: Sentences looked up per question, the rarest first; and the size of a bucket from which on a sentence counts as common.
-LOOKUPS, COMMON = 3, 64
+#: The size of a bucket from which on a sentence counts as common.
+COMMON = 64
 #: Least information, in bits, of the data that makes a fingerprint of its own.
 LEAST_BITS = 18.0
 #: Least share of the shorter text's words found in the other: with equal data, and with a sentence missing.
@@ -196,14 +196,14 @@ def block_rows(described: DataFrame) -> DataFrame:
 def candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
     """``id, other``: pairs of a new question and an earlier one that share a block and are near in Hamming distance.
 
-    ``new`` and ``stored`` are block rows.  Of a question's sentences the rarest
-    are looked up, common ones only where it has no other.
+    ``new`` and ``stored`` are block rows.  All of a question's sentences that
+    another question may share are looked up, common ones only where it has no other.
     """
     sizes = stored.groupBy("table", "block").agg(F.count(F.lit(1)).alias("bucket"))
-    sized = new.join(sizes, ["table", "block"]).filter("bucket > 0")
+    sized = new.join(sizes, ["table", "block"]).filter("bucket > 1")  # the row itself stands in its bucket
     units = sized.filter("kind = 1").groupBy("id", "print").agg(F.min("bucket").alias("size"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("size", "print"))
-    chosen = units.withColumn("r", rank).filter((F.col("r") == 1) | ((F.col("r") <= LOOKUPS) & (F.col("size") <= COMMON))).select("id", "print")
+    chosen = units.withColumn("r", rank).filter((F.col("r") == 1) | (F.col("size") <= COMMON)).select("id", "print")
     probes = sized.filter("kind = 0").select("id", "ord", "print", "table", "block").unionByName(sized.filter("kind = 1").join(chosen, ["id", "print"]).select("id", "ord", "print", "table", "block"))
     old = stored.select(F.col("id").alias("other"), F.col("ord").alias("other_ord"), F.col("print").alias("other_print"), "table", "block")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("other_print"))) <= MAX_DISTANCE

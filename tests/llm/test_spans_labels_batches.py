@@ -132,3 +132,10 @@ def test_whole_table_equals_comparison_by_shared_numbers(spark):
         else:
             accepted.append((i, t))
     assert found == sorted(want)
+
+
+def test_a_sentence_between_thin_ones_takes_no_lookups_from_shared_ones(spark):
+    shared, thin, more = "Trace fum17 for the input 3951, 5820 and 7411 of gil28 and zor45.", "Use 7 keys.", "Take 9 steps."
+    own = "The town of Pelmor numbers its pages from 4461 to 4892 and from 6013 to 7177 and from 8123 to 9199, with 5318 in red and 2644 in blue."
+    rows_ = [("a", 1, "0", f"{shared} {thin} {more}"), ("b", 2, "0", f"{shared} {thin} {own} {more}"), ("c", 1, "1", f"{shared} Count 9342 frames and 4419 locks.")]
+    assert rows(batches.find_repeats(bank(spark, rows_))) == [("a", "b")]
