@@ -11,9 +11,9 @@ looked up by exact block match only, the Hamming distance is checked, and then
 the two texts.  What is accepted is appended; history is never read as a whole.
 
 Exact copies cost no pairs: questions of equal data are one class, whose members
-are compared with its first.  A sentence that stands in very many questions (a
-passage that is passed on) isn't looked up where the question has rarer ones:
-a question that repeats another but for one sentence shares the rare ones too.
+are compared with its first.  Takers of a sentence that stands in very many
+questions (a passage that is passed on) are paired only where the data of one are
+those of the other but for one run, by equality of sums of hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from coursewright.session import cut
 BLOCK_BITS, BLOCKS = 16, 4
 #: Bits in which two fingerprints may differ to go on to the texts.
 MAX_DISTANCE = 16
-#: The size of a bucket from which on a sentence counts as common.
+#: The size of a bucket beyond which its rows are paired by their data.
 COMMON = 64
 #: Least information, in bits, of the data that makes a fingerprint of its own.
 LEAST_BITS = 18.0
@@ -193,21 +194,61 @@ def block_rows(described: DataFrame) -> DataFrame:
     return prints.select("id", "ord", "p.kind", "p.print", F.explode(F.array(*rotated)).alias("b")).select("id", "ord", "kind", "print", "b.table", "b.block")
 
 
-def candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """``id, other``: pairs of a new question and an earlier one that share a block and are near in Hamming distance.
+def data_keys(texts: DataFrame) -> DataFrame:
+    """``id, key, full, thin``: a sum of hashes of a text's data, and those of what is left when one run of it is missing.
 
-    ``new`` and ``stored`` are block rows.  All of a question's sentences that
-    another question may share are looked up, common ones only where it has no other.
+    Of two texts that set the same task with different data one's sum is among the
+    other's keys (see ``same_task``).  ``thin``: too little is left to tell by.
+    """
+    schema = T.StructType([texts.schema["id"], T.StructField("key", T.LongType(), False), T.StructField("full", T.BooleanType(), False), T.StructField("thin", T.BooleanType(), False)])
+    unit = 1024  # bits are summed as whole numbers, alike in every order
+
+    def batch_of(i: str, keys: np.ndarray, full: bool, bits: np.ndarray) -> pa.RecordBatch:
+        n = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array([i] * n, pa.string()), pa.array(keys.view(np.int64)), pa.array([full] * n, pa.bool_()), pa.array(bits < LEAST_BITS * unit)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = [w for w in _words(plain(t).lower()) if _DIGIT.search(w)]
+                sums = np.concatenate([[0], np.cumsum(np.array([xxhash.xxh64_intdigest(w) for w in data], dtype=np.uint64))]).astype(np.uint64)
+                bits = np.concatenate([[0], np.cumsum([round(_bits(w) * unit) for w in data])]).astype(np.int64)
+                yield batch_of(i, sums[-1:], True, bits[-1:])
+                for at in range(len(data)):
+                    keys, left = sums[-1] - (sums[at + 1 :] - sums[at]), bits[-1] - (bits[at + 1 :] - bits[at])
+                    yield batch_of(i, keys if at else keys[:-1], False, left if at else left[:-1])  # not all of it may be missing
+
+    return texts.select("id", "text").mapInArrow(run, schema).distinct()
+
+
+def candidates(new: DataFrame, stored: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, other``: pairs of a new question and an earlier one that share a block and may set the same task.
+
+    ``new`` and ``stored`` are block rows.  In a bucket of up to ``COMMON`` rows all
+    pairs near in Hamming distance are taken.  Of the larger ones (a passage that
+    is passed on) those whose data agree but for one run: the buckets are split
+    by ``data_keys``, so that no passage is paired with all its takers.
     """
     sizes = stored.groupBy("table", "block").agg(F.count(F.lit(1)).alias("bucket"))
     sized = new.join(sizes, ["table", "block"]).filter("bucket > 1")  # the row itself stands in its bucket
-    units = sized.filter("kind = 1").groupBy("id", "print").agg(F.min("bucket").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("size", "print"))
-    chosen = units.withColumn("r", rank).filter((F.col("r") == 1) | (F.col("size") <= COMMON)).select("id", "print")
-    probes = sized.filter("kind = 0").select("id", "ord", "print", "table", "block").unionByName(sized.filter("kind = 1").join(chosen, ["id", "print"]).select("id", "ord", "print", "table", "block"))
     old = stored.select(F.col("id").alias("other"), F.col("ord").alias("other_ord"), F.col("print").alias("other_print"), "table", "block")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("other_print"))) <= MAX_DISTANCE
-    return probes.join(old, ["table", "block"]).filter((F.col("other_ord") < F.col("ord")) & near).select("id", "other").distinct()
+    earlier = F.col("other_ord") < F.col("ord")
+    few = sized.filter(F.col("bucket") <= COMMON).join(old, ["table", "block"]).filter(earlier & near).select("id", "other")
+    hot = cut(sized.filter(F.col("bucket") > COMMON).select("id", "ord", "print", "table", "block"))
+    hot_old = cut(old.join(hot.select("table", "block").distinct(), ["table", "block"], "left_semi"))
+    ids = hot.select("id").union(hot_old.select("other")).distinct()
+    keys = cut(data_keys(texts.join(ids, "id", "left_semi")))
+    other_keys = keys.select(F.col("id").alias("other"), "key", F.col("full").alias("other_full"), "thin")
+    told = hot.select("id", "ord").distinct().join(keys.filter("not thin"), "id")
+    told_old = hot_old.select("other", "other_ord").distinct().join(other_keys.filter("not thin"), "other")
+    thin = hot.join(keys.filter("thin"), "id")
+    thin_old = hot_old.join(other_keys.filter("thin"), "other")
+    pairs = [few]
+    for side, other_side in (("full", "true"), ("not full", "other_full")):  # one of the two is a question's whole data
+        pairs.append(told.filter(side).join(told_old.filter(other_side), "key").filter(earlier).select("id", "other"))
+        pairs.append(thin.filter(side).join(thin_old.filter(other_side), ["key", "table", "block"]).filter(earlier & near).select("id", "other"))
+    return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def verify(pairs: DataFrame) -> DataFrame:
@@ -263,7 +304,7 @@ def check_against(new: DataFrame, accepted: DataFrame | None = None, blocks: Dat
     rows = cut(block_rows(heads))
     table = rows if blocks is None else rows.unionByName(blocks.select(*rows.columns))
     ords = new.select(F.col("id").alias("other"), F.col("ord").alias("other_ord")).unionByName(stored.select(F.col("id").alias("other"), F.col("ord").alias("other_ord")))
-    near = verify(_with_texts(candidates(rows, table).join(ords, "other"), heads, texts))
+    near = verify(_with_texts(candidates(rows, table, texts).join(ords, "other"), heads, texts))
     rejected = cut(_settle(near.select("id", "other", "other_ord")))
     # a member of a class whose first fell repeats what the first repeats
     led = same.join(rejected.select(F.col("id").alias("other"), F.col("other").alias("lead")), "other", "left")

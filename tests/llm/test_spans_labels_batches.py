@@ -139,3 +139,18 @@ def test_a_sentence_between_thin_ones_takes_no_lookups_from_shared_ones(spark):
     own = "The town of Pelmor numbers its pages from 4461 to 4892 and from 6013 to 7177 and from 8123 to 9199, with 5318 in red and 2644 in blue."
     rows_ = [("a", 1, "0", f"{shared} {thin} {more}"), ("b", 2, "0", f"{shared} {thin} {own} {more}"), ("c", 1, "1", f"{shared} Count 9342 frames and 4419 locks.")]
     assert rows(batches.find_repeats(bank(spark, rows_))) == [("a", "b")]
+
+
+def test_repeats_that_share_only_passages_of_very_many_questions(spark):
+    hot = ["Let tor18 be a device of size 3429 whose mailbox costs 63 weeks.", "Trace fum17 for the input 3951, 5820 and 7411 of gil28."]
+    own = "The town of Pelmor numbers its pages from 4461 to 4892 and from 6013 to 7177."
+    rng = random.Random(3)
+    rows_ = [(f"q{i:03}", 1, f"{i:03}", f"{hot[i % 2]} A lock holds {rng.randint(1000, 9999)} keys, {rng.randint(1000, 9999)} doors and {rng.randint(1000, 9999)} frames.") for i in range(2 * batches.COMMON + 20)]
+    rows_ += [("a", 2, "0", " ".join(hot)), ("b", 3, "0", " ".join([*hot, own])), ("c", 2, "1", f"{own} Count 9342 frames and 4419 locks.")]
+    texts = sorted((b, c, i, q) for i, b, c, q in rows_)
+    accepted, want = [], []
+    for *_, i, t in texts:
+        hit = next((j for j, u in accepted if batches.same_task(t, u)), None)
+        want += [tuple(sorted((i, hit)))] if hit else []
+        accepted += [] if hit else [(i, t)]
+    assert ("a", "b") in want and rows(batches.find_repeats(bank(spark, rows_))) == sorted(want)
