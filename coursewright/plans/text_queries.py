@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from coursewright.functions import text as X
 from coursewright.plans.registry import Registry
-from coursewright.session import table
+from coursewright.session import cut, table
 
 query = Registry()
 
@@ -171,13 +170,37 @@ def outline_flags(spark, d):
     )
 
 
+def _quoted_elsewhere(q):
+    """``bank_id`` of the rows (``bank_id, topic, question, quote``) whose quote stands in another one's question of the topic.
+
+    Equal quotes of a topic are looked up once, by the rarest three words inside
+    a piece (its outer words may be parts of words); quotes too short for that are
+    compared with the whole topic.
+    """
+    bare = F.regexp_replace(F.coalesce("question", F.lit("")), r"(?m)^[ \t]*[0-9]{1,2}[ \t]*$", "")
+    src = q.select(F.col("bank_id").alias("other"), "topic", F.col("question").alias("text"), F.array_distinct(F.array(X.normalized(F.coalesce("question", F.lit(""))), X.normalized(bare))).alias("norms"))
+    threes = lambda w, lo, hi: F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    of_text = lambda t: threes(F.split(t, " "), F.lit(1), F.size(F.split(t, " ")) - 2)
+    inside = lambda t: threes(F.split(t, " "), F.lit(2), F.size(F.split(t, " ")) - 3)
+    stands = cut(src.select("topic", "other", F.explode(F.array_distinct(F.flatten(F.transform("norms", of_text)))).alias("key")))
+    quotes = q.select("topic", "quote").distinct().withColumn("pieces", X.quote_pieces(F.col("quote"))).filter("size(split(array_join(pieces, ' '), ' ')) > 1")
+    quotes = cut(quotes.withColumn("keys", F.flatten(F.transform("pieces", inside))))
+    sizes = stands.groupBy("topic", "key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = quotes.select("topic", "quote", F.explode("keys").alias("key")).join(sizes, ["topic", "key"]).groupBy("topic", "quote").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+    long = rarest.join(stands, ["topic", "key"]).join(src.select("topic", "other", "text"), ["topic", "other"]).select("topic", "quote", "other", "text")
+    short = quotes.filter("size(keys) = 0").join(src, "topic").filter(F.exists("norms", lambda t: t.contains(F.col("pieces")[0]))).select("topic", "quote", "other", "text")
+    found = long.unionByName(short).filter(X.quote_in_source(F.col("quote"), F.col("text")))
+    ends = found.groupBy("topic", "quote").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    return q.join(ends, ["topic", "quote"]).filter((F.col("least") != F.col("bank_id")) | (F.col("most") != F.col("bank_id"))).select("bank_id")
+
+
 @query()
 def quote_in_source(spark, d):
     """Of every question, whether its first sentence stands in its own text and in another question of its topic."""
-    q = table(spark, d, "generated_questions").groupBy("bank_id").agg(F.max_by(F.struct("topic_id", "question"), "loaded_at").alias("m")).select("bank_id", "m.*")
-    q = q.withColumn("other", F.lag("question").over(Window.partitionBy("topic_id", F.substring(F.sha1("bank_id"), 1, 2)).orderBy("bank_id")))
-    quote = F.regexp_extract(F.coalesce("question", F.lit("")), r"^[^.?!]*[.?!]", 0)
-    return q.select("bank_id", X.quote_in_source(quote, F.col("question")).alias("in_own"), X.quote_in_source(quote, F.col("other")).alias("in_other"))
+    q = table(spark, d, "generated_questions").groupBy("bank_id").agg(F.max_by(F.struct("topic_id", "question"), "loaded_at").alias("m")).select("bank_id", F.coalesce("m.topic_id", F.lit("")).alias("topic"), "m.question")
+    q = cut(q.withColumn("quote", F.regexp_extract(F.coalesce("question", F.lit("")), r"^[^.?!]*[.?!]", 0)))
+    other = _quoted_elsewhere(q).withColumn("in_other", F.lit(True))
+    return q.join(other, "bank_id", "left").select("bank_id", X.quote_in_source(F.col("quote"), F.col("question")).alias("in_own"), F.coalesce("in_other", F.lit(False)).alias("in_other"))
 
 
 QUERIES, SQL = query.queries, query.sql
