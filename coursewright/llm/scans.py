@@ -42,6 +42,8 @@ ZONE = 3
 FORM_RATIO, FORM_LEAST = 8, 5
 #: The same for groups of three letters, and for a paper's own identifiers.
 GRAM_RATIO, GRAM_LEAST, NAME_RATIO = 12.0, 12, 60.0
+#: Forms in fewer papers than this, or than this share of all papers, may be doubted for their letters; the same within one paper.
+RARE, RARE_SHARE, LOCAL, LOCAL_SHARE = 40, 1 / 30, 4, 1 / 300
 #: Confusions by which one form may come from another.
 MOST_CONFUSED = 2
 MARKS = "-‐\xad¬"
@@ -355,6 +357,8 @@ def _confusable(forms: DataFrame) -> DataFrame:
 def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``form, right, at`` that are misread wherever they stand, and ``paper, form, right, at`` that are so in one paper."""
     by_paper = cut(words.groupBy("paper", "skel", "form").agg(F.sum((F.col("half") < 2).cast("int")).alias("n"), F.max((F.col("half") > 0).cast("int")).alias("joined")))
+    n_papers = by_paper.agg(F.count_distinct("paper")).first()[0]
+    rare_at, local_at = max(RARE, n_papers * RARE_SHARE), max(LOCAL, n_papers * LOCAL_SHARE)
     # a name that its paper writes twice and no other way isn't doubted for its letters
     forms = cut(by_paper.groupBy("skel", "form").agg(F.count(F.lit(1)).alias("papers"), F.max("n").alias("most"), F.min("joined").alias("joined")))
     leading = forms.groupBy("skel").agg(F.max(F.struct("papers", "form")).alias("m")).select("skel", F.col("m.form").alias("right"), F.col("m.papers").alias("right_papers"))
@@ -366,7 +370,7 @@ def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = types.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, 3))).alias("g"), "papers").groupBy("g").agg(F.sum("papers").alias("n"))
     table = {r.g: r.n for r in grams.collect()}  # at most 28 ** 3 rows
     settled = by_form.select("form")
-    rare = forms.filter((F.col("papers") < 40) & ((F.col("most") < 2) | ~F.col("form").rlike("[0-9]$"))).join(settled, "form", "left_anti").select("form")
+    rare = forms.filter((F.col("papers") < rare_at) & ((F.col("most") < 2) | ~F.col("form").rlike("[0-9]$"))).join(settled, "form", "left_anti").select("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +381,7 @@ def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     everywhere = cut(by_form.unionByName(by_grams))
     # in one paper: the form that is written more often there, both being rare elsewhere
     local = by_paper.join(everywhere.select("form"), "form", "left_anti").filter(F.col("form").rlike("[a-z_]{3}"))
-    local = local.join(forms.filter("papers < 4").select("form"), "form", "left_semi")
+    local = local.join(forms.filter(F.col("papers") < local_at).select("form"), "form", "left_semi")
     top = local.groupBy("paper", "skel").agg(F.max(F.struct("n", "form")).alias("m")).select("paper", "skel", F.col("m.form").alias("right"), F.col("m.n").alias("right_n"))
     in_paper = local.join(top, ["paper", "skel"]).filter((F.col("form") != F.col("right")) & (F.col("right_n") > F.col("n"))).select("paper", "form", "right")
     return everywhere, cut(_confusable(in_paper))

@@ -46,3 +46,11 @@ def test_numbers_and_skeletons():
     for right, wrong in (("value", "volue"), ("normal", "riormal"), ("removed", "removecl"), ("with", "vvith"), ("link", "hnk"), ("steps", "5teps"), ("label", "la6el"), ("clock", "dock")):
         assert S.skeleton(right) == S.skeleton(wrong) and S.confusions_between(wrong, right) == 1
     assert S.confusions_between("file", "the") > 2
+
+
+def test_rare_forms_are_judged_by_their_share_of_papers(spark):
+    lines = [(f"P{p}", "outlme" if p % 40 == 0 else "outline") for p in range(2400)] + [(f"P{p}", w) for p in range(0, 2400, 400) for w in ("Zanrnivo", "Zanmivo", "Zanmivo")]
+    words = spark.createDataFrame([(p, w, S.skeleton(w), 0) for p, w in lines], "paper string, form string, skel string, half int")
+    everywhere, in_paper = S.misread_forms(words)
+    assert rows(everywhere) == [("outlme", "outline")]
+    assert {r[1:] for r in rows(in_paper)} == {("Zanrnivo", "Zanmivo")}
