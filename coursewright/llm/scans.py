@@ -239,15 +239,16 @@ def body_words(body: DataFrame) -> DataFrame:
     (1 or 2) that stands in the line and the length of the first half.
     """
     within = Window.partitionBy("page_id").orderBy("line_no")
-    per_page = body.filter(F.size("words") > 0).withColumn("next", F.lead(F.get("words", F.lit(0))).over(within)).withColumn("prev_mark", F.lag("mark").over(within)).withColumn("prev_last", F.lag(F.element_at("words", -1)).over(within)).withColumn("at", F.row_number().over(within)).withColumn("last", F.lead("line_no").over(within).isNull())
+    per_page = body.filter(F.size("words") > 0).withColumn("next", F.lead(F.get("words", F.lit(0))).over(within)).withColumn("prev_mark", F.lag("mark").over(within)).withColumn("prev_last", F.lag(F.element_at("words", -1)).over(within)).withColumn("prev_at", F.lag(F.struct("page_id", "line_no")).over(within)).withColumn("at", F.row_number().over(within)).withColumn("last", F.lead("line_no").over(within).isNull())
     ends = per_page.groupBy("paper", "page_id", "page_no").agg(
-        F.min_by(F.get("words", F.lit(0)), "line_no").alias("first_word"), F.max_by(F.element_at("words", -1), "line_no").alias("end_word"), F.max(F.struct("line_no", "mark"))["mark"].alias("end_mark")
+        F.min_by(F.get("words", F.lit(0)), "line_no").alias("first_word"), F.max_by(F.element_at("words", -1), "line_no").alias("end_word"), F.max(F.struct("line_no", "mark"))["mark"].alias("end_mark"), F.max("line_no").alias("end_line")
     )
     pages = Window.partitionBy("paper").orderBy("page_no", "page_id")  # one small row per page
-    ends = ends.withColumn("page_next", F.lead("first_word").over(pages)).withColumn("page_prev", F.lag("end_word").over(pages)).withColumn("page_mark", F.lag("end_mark").over(pages)).select("page_id", "page_next", "page_prev", "page_mark")
+    ends = ends.withColumn("page_next", F.lead("first_word").over(pages)).withColumn("page_prev", F.lag("end_word").over(pages)).withColumn("page_mark", F.lag("end_mark").over(pages)).withColumn("page_at", F.lag(F.struct("page_id", F.col("end_line").alias("line_no"))).over(pages)).select("page_id", "page_next", "page_prev", "page_mark", "page_at")
     full = per_page.join(ends, "page_id").withColumn("next", F.when(F.col("last"), F.col("page_next")).otherwise(F.col("next")))
     full = full.withColumn("prev_mark", F.when(F.col("at") == 1, F.col("page_mark")).otherwise(F.col("prev_mark"))).withColumn("prev_last", F.when(F.col("at") == 1, F.col("page_prev")).otherwise(F.col("prev_last")))
-    return full.select("paper", "page_id", "line_no", "words", "mark", "next", "prev_mark", "prev_last", "code")
+    full = full.withColumn("prev_at", F.when(F.col("at") == 1, F.col("page_at")).otherwise(F.col("prev_at")))
+    return full.select("paper", "page_id", "line_no", "words", "mark", "next", "prev_mark", "prev_last", "prev_at", "code")
 
 
 WORD = T.StructType([T.StructField("paper", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("skel", T.StringType()), T.StructField("half", T.IntegerType()), T.StructField("split", T.IntegerType()), T.StructField("odd", T.BooleanType())])
@@ -416,7 +417,7 @@ def _analyse(pages: DataFrame) -> dict[str, DataFrame]:
     everywhere, in_paper = misread_forms(words)
     columns = ["page_id", "line_no", "form", "right", "half", "split"]
     hit = words.join(everywhere, "form").select(*columns).unionByName(words.join(in_paper, ["paper", "form"]).select(*columns))
-    return {"lines": lines, "frame": frame, "body": body, "words": words, "cuts": cuts, "hits": hit}
+    return {"lines": lines, "frame": frame, "body": body, "flanked": flanked, "words": words, "cuts": cuts, "hits": hit}
 
 
 def line_kinds(pages: DataFrame) -> DataFrame:
@@ -439,6 +440,13 @@ def restore_line(text: str, fixes: list[tuple[str, str]]) -> str:
     return re.sub(r"(?<![\w!|])(?=[lSsBOo!|I]*[0-9])[0-9lSsBOo!|I]{2,}(?![\w!|])", lambda m: m.group() if m.group().isdigit() else m.group().translate(_DIGITS), text)
 
 
+def restore_half(text: str, form: str, right: str, half: int, split: int) -> str:
+    """A line with its part of a cut word written right: what stands before the mark at its end (half 1), or its first letters (half 2)."""
+    old, new = (form[:split], right[:split]) if half == 1 else (form[split:], right[split:])
+    pattern = rf"{re.escape(old)}(?=[{MARKS}]\s*$)" if half == 1 else rf"(?<![A-Za-z0-9_]){re.escape(old)}(?![A-Za-z0-9_])"
+    return re.sub(pattern, lambda m: new[:1].upper() + new[1:] if half == 1 and m.group()[:1].isupper() else new, text, count=1, flags=re.I)
+
+
 def paragraphs(pages: DataFrame) -> DataFrame:
     """``paper, paragraph, text, first_page, n_lines``: each paper as continuous paragraphs.
 
@@ -450,13 +458,21 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     """
     found = _analyse(pages)
     fixes = found["hits"].filter("half = 0").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right")).alias("fixes"))
-    body = found["body"].select("paper", "page_id", "page_no", "line_no", "text", "code").join(fixes, ["page_id", "line_no"], "left").join(found["cuts"].withColumn("cut", F.lit(True)), ["page_id", "line_no"], "left")
+    # both lines of a cut word are written right, if it is joined
+    joined = found["cuts"].join(found["flanked"].select(F.col("prev_at.page_id").alias("page_id"), F.col("prev_at.line_no").alias("line_no"), F.col("page_id").alias("to_page"), F.col("line_no").alias("to_line")), ["page_id", "line_no"])
+    lines = joined.select("page_id", "line_no", F.lit(1).alias("half")).unionByName(joined.select(F.col("to_page").alias("page_id"), F.col("to_line").alias("line_no"), F.lit(2).alias("half")))
+    halves = found["hits"].join(lines, ["page_id", "line_no", "half"], "left_semi").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right", "half", "split")).alias("halves"))
+    body = found["body"].select("paper", "page_id", "page_no", "line_no", "text", "code").join(fixes, ["page_id", "line_no"], "left").join(halves, ["page_id", "line_no"], "left").join(found["cuts"].withColumn("cut", F.lit(True)), ["page_id", "line_no"], "left")
     schema = T.StructType([body.schema[c] for c in ("paper", "page_id", "page_no", "line_no", "code", "cut")] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [batch.column(n) for n in schema.names[:-1]]
-            texts = [restore_line(t, [(f["form"], f["right"]) for f in fx or []]) for t, fx in zip(batch.column("text").to_pylist(), batch.column("fixes").to_pylist(), strict=True)]
+            texts = []
+            for t, fx, hs in zip(batch.column("text").to_pylist(), batch.column("fixes").to_pylist(), batch.column("halves").to_pylist(), strict=True):
+                for h in hs or []:
+                    t = restore_half(t, h["form"], h["right"], h["half"], h["split"])
+                texts.append(restore_line(t, [(f["form"], f["right"]) for f in fx or []]))
             yield pa.RecordBatch.from_arrays([*keep, pa.array(texts, pa.string())], names=schema.names)
 
     restored = body.mapInArrow(run, schema)

@@ -54,3 +54,10 @@ def test_rare_forms_are_judged_by_their_share_of_papers(spark):
     everywhere, in_paper = S.misread_forms(words)
     assert rows(everywhere) == [("outlme", "outline")]
     assert {r[1:] for r in rows(in_paper)} == {("Zanrnivo", "Zanmivo")}
+
+
+def test_cut_words_are_written_right_in_paragraphs(spark):
+    more = [("Y_p001", "Y", 1, "Q1. Say when the lock has been rerno-\nved, from the table with the lar-\n\ngcr one and the num-\nber of steps is rem-", 0), ("Y_p002", "Y", 2, "oved. Then it is Rem-\novcd again.", 0)]
+    df = pages(spark).unionByName(spark.createDataFrame(more, "page_id string, paper string, page_num int, text string, extracted_at int"))
+    whole = " ".join(r.text for r in S.paragraphs(df).filter("paper = 'Y'").orderBy("paragraph").collect())
+    assert whole == "Q1. Say when the lock has been removed, from the table with the larger one and the number of steps is removed. Then it is Removed again."
