@@ -8,7 +8,8 @@ fingerprints of similar data differ in few bits.  The accepted fingerprints stan
 in four block tables, each keyed by another half of the fingerprint's 16-bit
 blocks (the fingerprint rotated by 0, 1, 2 and 3 blocks).  A new fingerprint is
 looked up by exact block match only, the Hamming distance is checked, and then
-the two texts.  What is accepted is appended; history is never read as a whole.
+the two texts.  What is accepted is appended; its tables are still read as a whole
+for each batch (``AcceptedStore.add``).
 
 Exact copies cost no pairs: questions of equal data are one class, whose members
 are compared with its first.  Takers of a sentence that stands in very many
@@ -337,8 +338,8 @@ class AcceptedStore:
     def add(self, batch: DataFrame) -> DataFrame:
         """Checks ``batch`` (rows of the question bank), appends what is accepted and returns ``bank_id, repeats``.
 
-        An id that was accepted before isn't checked again.  Of the history only
-        the buckets that the batch's blocks fall into are read.
+        An id that was accepted before isn't checked again.  All accepted rows
+        and block rows are read for each batch; only texts of candidates are compared.
         """
         described = describe(arrivals(batch))
         accepted, blocks = self._read("accepted"), self._read("blocks")
