@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_SCRATCH: list[str] = []
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "coursewright", **conf: str) -> SparkSession:
     """A local session for tests and benches."""
@@ -32,16 +35,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names; only where none is named (tests) a local one is made."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for lineage cuts; only a local master (tests) may fall back to one of its own."""
     jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "coursewright-checkpoints"))
+    if not jsc.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+        if not named and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "coursewright-checkpoints"))
+    return jsc.getCheckpointDir().get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends or by ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the tables written so far; for long sessions, once their results are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        at = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared folder and read back: later jobs neither recompute it nor depend on an executor.
+
+    Columns are compressed, later reads take only those they need, and the
+    planner sees the table's real size instead of an estimate carried along.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: later jobs neither recompute it nor depend on an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that may grow with the data: never broadcast, neither by estimate nor at run time."""
+    return df.hint("merge")
