@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Set on every session this package builds; a session handed in keeps its own.
 DEFAULTS = {
@@ -79,3 +80,12 @@ def cut(df: DataFrame) -> DataFrame:
 def apart(df: DataFrame) -> DataFrame:
     """``df`` as a side of a join that may grow with the data: never broadcast, neither by estimate nor at run time."""
     return df.hint("merge")
+
+
+#: Rows up to which ``sized`` broadcasts a narrow table.
+SMALL_ROWS = 50_000
+
+
+def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A narrow side of a join (keys and numbers, no texts): broadcast if it is counted to hold at most ``rows`` rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= rows else apart(df)
