@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coursewright.llm import batches, canonical, mixing, mojibake, scans, spans, tokens
-from coursewright.session import cut, table
+from coursewright.session import apart, cut, scratch_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.find_repeats(table(spark, sf_dir, "generated_questions"))
 
 
+def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, each batch looked up in the store of what was accepted before it."""
+    bank = table(spark, sf_dir, "generated_questions")
+    # rows of an id belong to its first batch; batch numbers are few
+    first = cut(bank.groupBy("bank_id").agg(F.min("batch_no").alias("first_batch")))
+    numbers = sorted((r[0] for r in first.select("first_batch").distinct().collect()), key=lambda n: (n is not None, n))
+    store = batches.AcceptedStore(spark, scratch_path(spark, "accepted"))
+    found = [store.add(bank.join(apart(first.filter(F.col("first_batch").eqNullSafe(n)).select("bank_id")), "bank_id", "left_semi")) for n in numbers]
+    pairs = [f.select(F.least("bank_id", "repeats").alias("bank_id_1"), F.greatest("bank_id", "repeats").alias("bank_id_2")) for f in found]
+    return reduce(DataFrame.unionByName, pairs) if pairs else spark.createDataFrame([], "bank_id_1 string, bank_id_2 string")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -71,7 +85,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_shares, p3_found, p4_found, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_shares, p3_found, p4_found, p4_batches, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,3 +154,82 @@ def test_repeats_that_share_only_passages_of_very_many_questions(spark):
         want += [tuple(sorted((i, hit)))] if hit else []
         accepted += [] if hit else [(i, t)]
     assert ("a", "b") in want and rows(batches.find_repeats(bank(spark, rows_))) == sorted(want)
+
+
+def greedy(rows_):
+    """The pairs by the rule itself: every question against all accepted before it."""
+    accepted, want = [], []
+    for *_, i, t in sorted((b, c, i, q) for i, b, c, q in rows_ if q):
+        hit = next((j for j, u in accepted if batches.same_task(t, u)), None)
+        want += [tuple(sorted((i, hit)))] if hit else []
+        accepted += [] if hit else [(i, t)]
+    return sorted(want)
+
+
+WORDS = "stack queue heap tree graph list array table index cache page frame lock thread process signal packet router switch socket kernel driver parser lexer token symbol scope closure pointer buffer stream block".split()
+
+
+def test_recall_of_questions_without_data(spark):
+    """One word of each changed, put in or left out: nine in ten repeats at least must be met."""
+    rng = random.Random(11)
+    rows_, pairs = [], 0
+    for i in range(150):
+        words = rng.sample(WORDS, rng.randint(8, 14))
+        rows_.append((f"a{i:03}", 1, f"{i:03}", f"Explain why a {' '.join(words[:4])} may {' '.join(words[4:])}."))
+        k = rng.randrange(len(words))
+        changed = words[:k] + ["wholly"] + words[k + (i % 3 > 0) :] if i % 3 < 2 else words[:k] + words[k + 1 :]
+        rows_.append((f"b{i:03}", 2, f"{i:03}", f"Explain why a {' '.join(changed[:4])} may {' '.join(changed[4:])}."))
+        pairs += batches.same_task(rows_[-1][3], rows_[-2][3])
+    want = greedy(rows_)
+    found = rows(batches.find_repeats(bank(spark, rows_)))
+    assert pairs > 120 and len(set(found) & set(want)) >= 0.9 * len(want) and set(found) <= set(want)
+
+
+def test_one_differing_bit_is_met_wherever_it_stands(spark):
+    prints = [(1, 2)] + [((1 ^ (1 << b)) if b < 63 else 1 - 2**63, 2) for b in range(64)] + [(1, (2 ^ (1 << b)) if b < 63 else 2 - 2**63) for b in range(64)]
+    df = spark.createDataFrame([((1, "", f"{i:03}"), [(h, l, True)]) for i, (h, l) in enumerate(prints)], "ord struct<batch:int,created:string,id:string>, prints array<struct<high:long,low:long,whole:boolean>>")
+    a, b = (batches.block_rows(df).withColumn("fresh", F.lit(True)).alias(x) for x in "ab")
+    met = a.join(b, "key").filter(batches._earlier("a", "b") & batches._may_repeat("a", "b") & (F.col("b.ord.id") == "000")).select("a.ord.id").distinct()
+    assert met.count() == 128
+
+
+def test_variants_of_one_question_in_a_third_of_all_rows(spark):
+    """A hot class (equal data) and a hot bucket (texts without data), both far over the bucket limit."""
+    rng = random.Random(4)
+    n = 3 * batches.COMMON
+    rows_ = [(f"h{i:03}", 1 + i % 3, f"{i:03}", BASE.replace("busy", rng.choice(WORDS)).replace("Trace", rng.choice(["Find", "Follow"]))) for i in range(n)]
+    rows_ += [(f"w{i:03}", 1 + i % 3, f"{i:03}", f"Explain why a {rng.choice(WORDS)} must not lose its owner when the clerk of a town resets every bell.") for i in range(n)]
+    rows_ += [(f"d{i:03}", 1 + i % 3, f"{i:03}", f"{rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)} 7461 4899 fum27") for i in range(n)]
+    assert rows(batches.find_repeats(bank(spark, rows_))) == greedy(rows_)
+
+
+def test_a_lookup_reads_alike_however_long_the_history(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda: f"A lock named fum{rng.randint(10, 99)} holds {rng.randint(100, 99999)} keys and {rng.randint(100, 99999)} doors. Count the pages after {rng.randint(100, 99999)} steps of {rng.randint(100, 99999)} rounds. Give frame {rng.randint(100, 99999)}."
+    store = batches.AcceptedStore(spark, str(tmp_path / "store"), parts=4, group_rows=16)
+    read = []
+    for step in range(3):
+        big = [(f"s{step}q{i:05}", 2 * step, f"{i:05}", text()) for i in range(1500)]
+        store.add(bank(spark, big))
+        store.compact()
+        before = store.runs.rows_read.value
+        probe = [(f"s{step}p{i}", 2 * step + 1, f"{i}", big[i][3].replace("Count", "Find")) for i in range(2)]
+        assert rows(store.add(bank(spark, probe))) == [(f"s{step}p{i}", f"s{step}q{i:05}") for i in range(2)]
+        read.append(store.runs.rows_read.value - before)
+    assert read[2] < 1.5 * read[0], read
+    assert len(store.runs.runs()) == 2
+    assert rows(store.add(bank(spark, [("late", 9, "0", big[7][3])]))) == [("late", "s2q00007")]
+
+
+def test_a_broken_append_leaves_nothing_that_is_read(spark, tmp_path):
+    store = batches.AcceptedStore(spark, str(tmp_path / "store"))
+    store.add(bank(spark, [("a", 1, "0", BASE)]))
+    broken = batches.describe(batches.arrivals(bank(spark, [("x", 2, "0", "Define a lock.")])))
+    batches.block_rows(broken).withColumn("part", F.lit(0)).write.partitionBy("part").parquet(f"{store.runs.path}/00000001-00000001/blocks")  # no marker follows
+    assert rows(store.add(bank(spark, [("b", 3, "0", BASE.lower()), ("c", 3, "1", "Define a lock.")]))) == [("b", "a")]
+
+
+def test_batches_through_the_store_equal_one_backlog(spark):
+    from coursewright.llm import queries
+
+    assert rows(queries.p4_batches(spark, SF)) == rows(queries.p4_found(spark, SF))
