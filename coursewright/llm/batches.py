@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,7 @@ _THOUSANDS = re.compile(r"(?<![\d,])\d{1,3}(?:,\d{3})+(?![\d,])")
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!;:])\s+|\n+")
 _DIGIT = re.compile(r"\d")
+_WITH_DIGIT = re.compile(r"\w*\d\w*")
 
 
 def plain(text: str) -> str:
@@ -88,14 +90,12 @@ def _bits(token: str) -> float:
     return 18.0 if _DIGIT.search(token) else 12.0
 
 
-def pieces_of(text: str) -> tuple[list[list[str]], list[list[str]]]:
-    """Per sentence its data, and its words without stop words, lower case."""
-    data, words = [], []
-    for s in _SENTENCE.split(plain(text)):
-        one = [w.lower() for w in _words(s)]
-        data.append([w for w in one if _DIGIT.search(w)])
-        words.append([w for w in one if w not in STOP_WORDS and not _DIGIT.search(w)])
-    return data, words
+def _data(text: str) -> list[str]:
+    return [w.strip("_") for w in _WITH_DIGIT.findall(text.lower())]
+
+
+def _say(text: str) -> list[str]:
+    return [w for w in _words(text.lower()) if w not in STOP_WORDS and not _DIGIT.search(w)]
 
 
 _DRAWS = np.array([xxhash.xxh64_intdigest(f"draw {i}") | 1 for i in range(SAMPLES[0])], dtype=np.uint64)
@@ -119,9 +119,9 @@ def _signs(token: str) -> np.ndarray:
     return np.unpackbits(np.frombuffer(xxhash.xxh3_128_digest(token), np.uint8)).astype(np.int32) * 2 - 1
 
 
-def _rest_samples(words: list[list[str]], data: list[str]) -> list[list[str]]:
+def _thin_features(sentences: list[str], data: list[str]) -> list[list[str]]:
     """Token lists by which a text with too little data is known."""
-    return [data + s for s in samples_of([w for one in words for w in one], *(SAMPLES_THIN if data else SAMPLES))]
+    return [data + s for s in samples_of([w for s in sentences for w in _say(s)], *(SAMPLES_THIN if data else SAMPLES))]
 
 
 def prints_of(text: str) -> tuple[str, np.ndarray, np.ndarray]:
@@ -129,19 +129,21 @@ def prints_of(text: str) -> tuple[str, np.ndarray, np.ndarray]:
 
     A fingerprint's bit is the majority of the tokens' bits.
     """
-    data, words = pieces_of(text)
+    body = plain(text)
+    sentences = _SENTENCE.split(body)
+    data = [_data(s) for s in sentences]
     flat = [w for s in data for w in s]
-    bits = np.concatenate([[0.0], np.cumsum([sum(map(_bits, s)) for s in data])])
+    bits = list(accumulate((sum(map(_bits, s)) for s in data), initial=0.0))
     rich = bits[-1] >= LEAST_BITS
     whole, rests, sampled = [], [], []
     if rich:
         key = "d" + xxhash.xxh3_128_hexdigest(" ".join(sorted(flat)))
-        counts = np.concatenate([[0], np.cumsum([len(s) for s in data])])
-        upto = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum([_signs(w) for w in flat], axis=0, dtype=np.int32)])[counts]
+        counts = list(accumulate(map(len, data), initial=0))
+        upto = np.concatenate([np.zeros((1, 128), np.int32), np.array([_signs(w) for w in flat]).cumsum(axis=0, dtype=np.int32)])[counts]
         whole.append(upto[-1])
     else:
-        key = "w" + xxhash.xxh3_128_hexdigest(" ".join(_words(plain(text).lower())) or text)
-        whole += [sum(map(_signs, f)) for f in _rest_samples(words, flat) or [[text]]]
+        key = "w" + xxhash.xxh3_128_hexdigest(" ".join(_words(body.lower())) or text)
+        whole += [sum(map(_signs, f)) for f in _thin_features(sentences, flat) or [[text]]]
     holds = [i for i, s in enumerate(data) if s]
     for i in range(len(holds)):
         for j in range(i, min(i + MISSING, len(holds))):
@@ -150,11 +152,15 @@ def prints_of(text: str) -> tuple[str, np.ndarray, np.ndarray]:
                 if rich and bits[-1] - (bits[b] - bits[a]) >= LEAST_BITS:
                     rests.append(upto[-1] - (upto[b] - upto[a]))
                 else:  # what lacks these has too little data
-                    without = [w for k, w in enumerate(words) if not (a <= k < b and data[k])]
-                    sampled += _rest_samples(without, [w for k, s in enumerate(data) if not a <= k < b for w in s])
+                    without = [s for k, s in enumerate(sentences) if not (a <= k < b and data[k])]
+                    sampled += _thin_features(without, [w for k, s in enumerate(data) if not a <= k < b for w in s])
     rests += [sum(map(_signs, f)) for f in sampled]
-    pack = lambda sums: np.unique(np.packbits(np.array(sums).reshape(-1, 128) > 0, axis=1).view(np.int64), axis=0)
-    return key, pack(whole), pack(rests)
+    return key, _pack(whole), _pack(rests)
+
+
+def _pack(sums: list[np.ndarray]) -> np.ndarray:
+    both = np.packbits(np.array(sums).reshape(-1, 128) > 0, axis=1).view(np.int64).tolist()
+    return np.array(sorted(set(map(tuple, both))), dtype=np.int64).reshape(-1, 2)
 
 
 def same_task(a: str, b: str) -> bool:
