@@ -34,14 +34,14 @@ RIGHT = ("cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8-r", "cp866", "
 
 #: How much cheaper a text must be to be taken for the original: over UTF-8 (a valid sequence by chance is rare) and else.
 MARGIN_UTF8, MARGIN_BYTES = 1.2, 3.0
-#: Edges from the text as it stands, and implausibility below which a segment isn't searched.
-MAX_DEPTH, CALM = 4, 0.9
-#: States expanded per segment; what is still implausible then is taken up again sentence by sentence and word by word.
-EXPANSIONS = 12
+#: Implausibility below which a segment isn't searched.
+CALM = 0.9
+#: Cost of an escaped character beyond ASCII: more than any character may cost, so that unescaping is always a step down.
+ESCAPE_COST = 12.0
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
-_ESCAPED = re.compile(r"&(?:#\d{2,7}|#x[0-9a-f]{2,6}|[a-z]{2,8});", re.I)
+_ESCAPED = re.compile(r"&(?:amp;)*(#\d{2,7}|#x[0-9a-f]{2,6}|[a-z]{2,8});", re.I)
 
 # Letters of the main European languages beyond ASCII.
 _COMMON = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßšž")
@@ -154,9 +154,15 @@ def _excess(c: str, kind: str, p: str, q: str, before: str, after: str) -> float
     return 0.0
 
 
+@lru_cache(maxsize=10_000)
+def _beyond_ascii(name: str) -> bool:
+    """Whether an escape's name or number stands for a character beyond ASCII."""
+    return not html.unescape(f"&{name};").isascii()
+
+
 def implausibility(text: str) -> tuple[float, float]:
     """``cost, excess`` of a text: all its non-ASCII characters cost, and the part that speaks of damage."""
-    cost = excess = 0.0
+    cost = excess = ESCAPE_COST * sum(m.group().count("amp;") + 1 for m in _ESCAPED.finditer(text) if _beyond_ascii(m[1])) if "&" in text else 0.0
     end = len(text) - 1
     for m in _NON_ASCII.finditer(text):
         i = m.start()
@@ -251,21 +257,24 @@ def cheapest(text: str) -> tuple[str, tuple[str, ...]]:
 
 
 def _search(text: str, sequences_only: bool) -> tuple[str, tuple[str, ...]]:
-    """Best-first: the state of least cost is expanded next; an edge that doesn't lower the cost by its margin leads nowhere."""
+    """Best-first: the state of least cost is expanded next; an edge that doesn't lower the cost by its margin leads nowhere.
+
+    Each edge lowers the cost, so paths are bounded by the cost of the text itself; the
+    search ends where the cheapest queued state is plausible, or with all states seen.
+    """
     cost, excess = implausibility(text)
     best = (cost, text, ())
     seen = {hash(text)}
     queue: list[tuple[float, int, str, tuple[str, ...], float]] = [(cost, 0, text, (), excess)]
-    n = expanded = 0
+    n = 0
     while queue:
         cost, _, state, path, excess = heapq.heappop(queue)
         if cost < best[0]:
             best = (cost, state, path)
-        if expanded == EXPANSIONS or (excess < CALM and cost <= best[0]):
+        if excess < CALM and cost <= best[0]:
             break  # as plausible as can be, and nothing cheaper is queued
-        if len(path) >= MAX_DEPTH or excess < CALM:
+        if excess < CALM:
             continue
-        expanded += 1
         for new, edge, margin in neighbours(state, sequences_only):
             if hash(new) in seen:
                 continue
@@ -283,7 +292,7 @@ _LEVELS = (re.compile(r"(?<=\n)|(?<=[.?!:] )"), re.compile(r"(?<=\s)(?=\S)"))
 def _repair_at(text: str, level: int, edges: set[str]) -> str:
     out = []
     for part in _LEVELS[level].split(text):
-        if _NON_ASCII.search(part) and implausibility(part)[1] >= CALM:
+        if (not part.isascii() or "&" in part) and implausibility(part)[1] >= CALM:
             part, path = cheapest(part)
             edges.update(path)
             if level + 1 < len(_LEVELS) and implausibility(part)[1] >= CALM:
@@ -299,13 +308,15 @@ def repair(text: str | None) -> tuple[bool, str | None, list[str]]:
     """``garbled, restored, edges``: whether a text holds wrongly decoded characters, the text with all of them restored that can be, and the edges taken.
 
     Null and empty texts aren't garbled and stay as they are.  Characters lost for
-    good (U+FFFD) and stray controls mark a text as garbled and stay in it.
+    good (U+FFFD) and stray controls mark a text as garbled and stay in it.  A text
+    that is only escaped comes back unescaped, but nothing in it was wrongly decoded,
+    so it isn't garbled; escapes of ASCII characters (``&lt;``) are left alone.
     """
-    if not text or text.isascii():
+    if not text or (text.isascii() and "&" not in text):  # neither a character nor an escape beyond ASCII
         return False, text, []
     edges: set[str] = set()
     fixed = _repair_at(text, 0, edges)
-    return fixed != text or bool(_LOST.search(text)), fixed, sorted(edges)
+    return bool(edges - {"unescape"} or _LOST.search(text)), fixed, sorted(edges)
 
 
 def repair_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

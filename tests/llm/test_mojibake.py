@@ -57,3 +57,18 @@ def test_column(spark):
     out = M.repair_column(df, "doc_id", "text")
     assert [(r.doc_id, r.garbled) for r in out.orderBy("doc_id").collect()] == [(1, False), (2, False), (3, True), (3, True), (4, True)]
     assert rows(M.garbled_only(out).filter("doc_id = 3").select("restored"))[0] == ("naïve café",)
+
+
+def test_escapes_lead_to_the_original():
+    assert M.repair("caf&Atilde;&copy; and more text") == (True, "café and more text", ["cp1252>utf-8", "unescape"])
+    assert M.repair("caf&Atilde;&copy; – and more text")[:2] == (True, "café – and more text")
+    assert M.repair("caf&amp;Atilde;&amp;copy;")[:2] == (True, "café")
+    assert M.repair("caf&eacute; x") == (False, "café x", ["unescape"])  # escaped, not wrongly decoded
+    assert M.repair("if (a &lt; b &amp;&amp; c) &foo; AT&T;") == (False, "if (a &lt; b &amp;&amp; c) &foo; AT&T;", [])
+
+
+def test_damage_of_any_depth_comes_back():
+    bad = "Größe der Straße"
+    for _ in range(6):
+        bad = garble(bad, "utf-8", "cp1252")
+    assert M.repair(bad)[:2] == (True, "Größe der Straße")
