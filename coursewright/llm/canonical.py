@@ -9,7 +9,9 @@ are mapped once, however many rows carry them.
 
 A value may name an entry in several ways at once (``Evaluate (L5)``): it is cut
 into parts, each part is mapped, and the value stands for an entry if its parts
-name exactly one.  Digits never count as typing errors of other digits.
+name exactly one.  Digits never count as typing errors of other digits.  In codes
+the edits may only be marks and noughts put in, left out or exchanged ("C.O. 2",
+"C311,04"); letters count as they stand, but for long words ("Course outcome").
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from coursewright.session import cut
 
 UNMATCHED = "UNMATCHED"
 
-#: Edits allowed by the length of a form: (least length, edits).
+#: Edits allowed by the length of a form: (least length, edits); and in codes.
 EDITS = ((5, 2), (4, 1), (0, 0))
+CODE_EDITS = 2
+#: Letters of a code's word from which on they may be mistyped.
+LONG_WORD = 8
 
 
 def edits_for(form: Column) -> Column:
@@ -46,32 +51,39 @@ def _segments(length: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), k.cast("int")), cut)
 
 
+def _numbers(c: Column) -> Column:
+    """The numbers in a text in order, without leading noughts."""
+    return F.transform(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), lambda n: F.regexp_replace(n, "^0+(?=.)", ""))
+
+
 def pigeonhole_matches(keys: DataFrame, forms: DataFrame) -> DataFrame:
     """``scope, key, ref_id, distance`` of every form within its edits of a key.
 
-    ``keys``: distinct ``scope, key``.  ``forms``: ``scope, form, ref_id, k`` (a null
-    ``ref_id`` is a known form that stands for no entry).  ``distance`` is exact; of
-    several forms of one entry the nearest counts.  Null keys match nothing.
+    ``keys``: distinct ``scope, key``.  ``forms``: ``scope, form, ref_id, k, loose`` (not
+    ``loose``: the key's letters must be the form's).  The numbers in a form, if it has
+    any, must be the key's.  ``distance`` is exact; of several forms of one entry the
+    nearest counts.  Null keys match nothing.
     """
-    index = (
-        forms.filter(F.col("form").isNotNull() & (F.length("form") > F.col("k")))
-        .withColumn("s", F.explode(_segments(F.length("form"), F.col("k"))))
-        .select("scope", "form", "ref_id", "k", F.length("form").alias("flen"), F.col("s.no").alias("no"), F.substring(F.col("form"), F.col("s.at"), F.col("s.len")).alias("seg"))
-    )
-    shapes = forms.filter(F.length("form") > F.col("k")).select(F.length("form").alias("flen"), "k").distinct()
+    usable = forms.filter(F.col("form").isNotNull() & (F.length("form") > F.col("k"))).withColumn("flen", F.length("form"))
+    index = usable.withColumn("s", F.explode(_segments(F.col("flen"), F.col("k")))).select("scope", "form", "ref_id", "k", "loose", "flen", F.col("s.no").alias("no"), F.substring(F.col("form"), F.col("s.at"), F.col("s.len")).alias("seg"))
+    shapes = usable.select("flen", "k").distinct()
+    most = max(CODE_EDITS, *(k for _, k in EDITS))
     probes = (
         keys.filter(F.col("key").isNotNull())
-        .join(shapes, F.abs(F.length("key") - F.col("flen")) <= F.col("k"))  # the shapes are a few dozen pairs of small numbers
+        .withColumn("flen", F.explode(F.sequence(F.length("key") - most, F.length("key") + most)))
+        .join(shapes, "flen")
+        .filter(F.abs(F.length("key") - F.col("flen")) <= F.col("k"))
         .withColumn("s", F.explode(_segments(F.col("flen"), F.col("k"))))
         .withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("s.at") - F.col("k")), F.greatest(F.lit(1), F.least(F.col("s.at") + F.col("k"), F.length("key") - F.col("s.len") + 1)))))
         .select("scope", "key", "flen", "k", F.col("s.no").alias("no"), F.substring(F.col("key"), F.col("at"), F.col("s.len")).alias("seg"))
         .distinct()
     )
-    near = probes.join(index, ["scope", "flen", "k", "no", "seg"]).select("scope", "key", "form", "ref_id", "k").distinct()
-    digits = lambda c: F.regexp_replace(c, r"[^0-9]", "")
+    near = probes.join(index, ["scope", "flen", "k", "no", "seg"]).select("scope", "key", "form", "ref_id", "k", "loose").distinct()
     exact = near.withColumn("distance", F.levenshtein("key", "form"))
-    same_digits = (F.col("distance") == 0) | (digits(F.col("form")) == F.lit("")) | (digits(F.col("key")) == digits(F.col("form")))
-    return exact.filter((F.col("distance") <= F.col("k")) & same_digits).groupBy("scope", "key", "ref_id").agg(F.min("distance").alias("distance"))
+    letters = lambda c: F.regexp_replace(c, "[^A-Za-z]", "")
+    same_numbers = (F.col("distance") == 0) | ~F.col("form").rlike("[0-9]") | (_numbers(F.col("key")) == _numbers(F.col("form")))
+    same_letters = F.col("loose") | (letters(F.col("key")) == letters(F.col("form")))
+    return exact.filter((F.col("distance") <= F.col("k")) & same_numbers & same_letters).groupBy("scope", "key", "ref_id").agg(F.min("distance").alias("distance"))
 
 
 def resolve(parts: DataFrame, forms: DataFrame) -> DataFrame:
@@ -84,8 +96,8 @@ def resolve(parts: DataFrame, forms: DataFrame) -> DataFrame:
     matches = cut(pigeonhole_matches(parts.select("scope", "key").distinct(), forms))
     least = matches.groupBy("scope", "key").agg(F.min("distance").alias("distance"))
     best = matches.join(least, ["scope", "key", "distance"])
-    named = parts.join(best, ["scope", "key"]).groupBy("scope", "value").agg(F.collect_set("ref_id").alias("refs"), F.max(F.col("ref_id").isNull()).alias("dead"))
-    found = named.filter((F.size("refs") == 1) & ~F.col("dead")).select("scope", "value", F.col("refs")[0].alias("ref_id"))
+    named = parts.join(best, ["scope", "key"]).groupBy("scope", "value").agg(F.collect_set("ref_id").alias("refs"))
+    found = named.filter(F.size("refs") == 1).select("scope", "value", F.col("refs")[0].alias("ref_id"))
     rest = parts.select("scope", "value").distinct().join(found, ["scope", "value"], "left_anti").withColumn("ref_id", F.lit(UNMATCHED))
     return found.unionByName(rest)
 
@@ -124,16 +136,29 @@ def level_forms(levels: DataFrame) -> DataFrame:
     whole = base.unionByName(ing).select("level_id", F.col("w").alias("form"), edits_for(F.col("w")).alias("k"))
     short = base.filter(F.length("w") > 4).select("level_id", F.explode(F.transform(F.sequence(F.lit(4), F.length("w") - 1), lambda n: F.substring("w", F.lit(1), n))).alias("form")).withColumn("k", F.lit(0))
     number = levels.select("level_id", F.concat(F.lit("l"), F.col("bloom_rank").cast("string")).alias("form"), F.lit(0).alias("k"))
-    return whole.unionByName(short).unionByName(number).select(F.lit("").alias("scope"), "form", F.col("level_id").alias("ref_id"), "k").distinct()
+    return whole.unionByName(short).unionByName(number).select(F.lit("").alias("scope"), "form", F.col("level_id").alias("ref_id"), "k", F.lit(True).alias("loose")).distinct()
 
 
 # ---- codes of course outcomes
 
-#: Highest outcome number whose spellings are known; those without an entry stand for none.
-LAST_NUMBER = 20
-# Number words and Roman numerals from 0.
-WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-ROMAN = " I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split(" ")
+# The parts of number words and of Roman numerals.
+ONES = ",ONE,TWO,THREE,FOUR,FIVE,SIX,SEVEN,EIGHT,NINE,TEN,ELEVEN,TWELVE,THIRTEEN,FOURTEEN,FIFTEEN,SIXTEEN,SEVENTEEN,EIGHTEEN,NINETEEN".split(",")
+TENS = ",,TWENTY,THIRTY,FORTY,FIFTY,SIXTY,SEVENTY,EIGHTY,NINETY".split(",")
+ROMAN_ONES, ROMAN_TENS = ",I,II,III,IV,V,VI,VII,VIII,IX".split(","), ",X,XX,XXX,XL,L,LX,LXX,LXXX,XC".split(",")
+
+
+def _pick(names: list[str], i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, names)), i.cast("int"))
+
+
+def _word(n: Column) -> Column:
+    """A number below 100 in words; null from there on."""
+    return F.when(n < 20, _pick(ONES, n)).otherwise(F.concat(_pick(TENS, F.floor(n / 10)), _pick(ONES, n % 10)))
+
+
+def _roman(n: Column) -> Column:
+    """A number below 100 in Roman numerals; null from there on."""
+    return F.concat(_pick(ROMAN_TENS, F.floor(n / 10)), _pick(ROMAN_ONES, n % 10))
 
 
 def _fold(c: Column) -> Column:
@@ -142,37 +167,28 @@ def _fold(c: Column) -> Column:
 
 
 def code_keys(c: Column) -> Column:
-    """The parts of a typed code as bare folded keys; a printed code keeps a dot between course and outcome number."""
-    t = F.upper(tidy(c))
-    t = F.regexp_replace(t, r"[\[(][^\])]*[A-Z]{3,}[^\])]*[\])]", " ")  # "(Analyze)"
-    t = F.regexp_replace(t, r"[\[(]\s*[0-9.]+\s*M?\s*[\])]", " ")  # "[3 M]"
-    t = F.regexp_replace(t, r"\b(C?)([0-9IL|OQ]{3})\s*[.,:\-_ ]\s*0*([1-9][0-9]*)\b", "$1$2~$3")
-    t = F.regexp_replace(t, r"\bNO\b\.?", " ")
-    t = F.regexp_replace(t, r"\b(C)\s*[.\s]?\s*([O0Q])\b\.?", "$1$2")
-    t = F.regexp_replace(t, r"_(C[O0Q])", "/$1")
-    parts = F.split(t, r"[/,;&+]|\s-\s|\bAND\b")
-    bare = F.transform(parts, lambda p: F.regexp_replace(p, r"[^A-Z0-9~|]", ""))
-    bare = F.transform(bare, lambda p: F.when(p.contains("~"), _fold(p)).otherwise(p))
-    bare = F.transform(bare, lambda p: F.regexp_replace(F.regexp_replace(p, r"^C[O0Q][L|]$", "CO1"), r"^C[O0Q](?:0+(?=[1-9]))?(?=[0-9IVX]|[A-Z]{3})(?!.*~)", "CO"))
-    bare = F.transform(bare, lambda p: F.regexp_replace(p, r"^(OUTCOME|COURSEOUTCOME)0+([1-9])", "$1$2"))
+    """The parts of a typed code, upper case and without blanks, with the marks that were typed; glyphs read for figures, or for the O of CO, are folded."""
+    t = F.regexp_replace(F.upper(tidy(c)), r"\bNO\b\.?", " ")
+    t = F.regexp_replace(t, r"_(?=C[O0Q])", "/")
+    parts = F.split(t, r"[/&+()\[\]{}]|[,;:](?!\s*[0-9])|\s-\s|\bAND\b")
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?<=[0-9])\s+(?=[0-9])", "."), r"\s+|^[^A-Z0-9|]+|[^A-Z0-9|]+$", ""))
+    bare = F.transform(bare, lambda p: F.when(p.rlike(r"^C?[0-9ILOQ|]{3}[^0-9A-Z]+[0-9]+$"), _fold(p)).otherwise(p))
+    bare = F.transform(bare, lambda p: F.regexp_replace(F.regexp_replace(p, r"^(C\W?)[0Q](?=\W{0,2}(?:[0-9]{1,2}|[IVX]+)$)", "$1O"), r"^(C\W?O\W?)[L|]$", "${1}1"))
     return F.filter(bare, lambda p: p != "")
 
 
 def code_forms(outcomes: DataFrame) -> DataFrame:
-    """Forms of ``course_outcomes`` per subject: the printed code with and without its letter, and "CO", "Outcome", "Course Outcome" with figure, numeral or word.
-
-    Numbers without an entry are known forms that stand for none.
-    """
-    spelled_numbers = [F.struct(F.lit(n).alias("n"), F.lit(head + s).alias("form")) for n in range(LAST_NUMBER + 1) for s in sorted({str(n), ROMAN[n], WORDS[n].upper()} - {""}) for head in ("CO", "OUTCOME", "COURSEOUTCOME")]
+    """Forms of ``course_outcomes`` per subject: the printed code with and without its letter, and "CO", "Outcome", "Course Outcome" with figure, numeral or word."""
     number = F.regexp_extract("short_id", r"([0-9]+)$", 1).cast("int")
-    subjects = outcomes.select("subject").distinct()
-    known = outcomes.select("subject", "co_id", number.alias("n"))
-    spelled = subjects.select("subject", F.inline(F.array(*spelled_numbers))).join(known, ["subject", "n"], "left").select("subject", "co_id", "form")
-    printed = outcomes.select("subject", "co_id", _fold(F.regexp_replace(F.upper("printed_code"), r"\.", "~")).alias("form"))
-    bare = printed.select("subject", "co_id", F.regexp_replace("form", "^C", "").alias("form"))
-    long_head = F.length(F.regexp_replace("form", "[^A-Z]", "")) >= 8
-    k = F.when(long_head, 1).otherwise(0)
-    return spelled.withColumn("k", k).unionByName(printed.unionByName(bare).withColumn("k", F.lit(0))).select(F.col("subject").alias("scope"), "form", F.col("co_id").alias("ref_id"), "k").distinct()
+    known = outcomes.select("subject", "co_id", number.alias("n")).filter("n is not null")
+    n = F.col("n")
+    spelled = known.select(
+        "subject", "co_id", F.inline(F.array(*[F.struct(F.concat(F.lit(head), tail).alias("form"), F.lit(kind != "roman" and len(head) >= LONG_WORD).alias("loose")) for head in ("CO", "OUTCOME", "COURSEOUTCOME") for kind, tail in (("figure", n.cast("string")), ("roman", _roman(n)), ("word", _word(n)))]))
+    )
+    printed = outcomes.select("subject", "co_id", F.upper("printed_code").alias("form"))
+    bare = printed.select("subject", "co_id", F.regexp_replace("form", "^[A-Z]+", "").alias("form"))
+    every = spelled.filter("form is not null").unionByName(printed.unionByName(bare).withColumn("loose", F.lit(False)))
+    return every.select(F.col("subject").alias("scope"), "form", F.col("co_id").alias("ref_id"), F.lit(CODE_EDITS).alias("k"), "loose").distinct()
 
 
 # ---- whole tables
