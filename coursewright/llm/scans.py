@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coursewright.session import cut
+from coursewright.session import apart, cut, sized
 
 # What a glyph or pair of glyphs is misread as (from, to).
 CONFUSIONS = (
@@ -46,6 +47,8 @@ GRAM_RATIO, GRAM_LEAST, NAME_RATIO = 12.0, 12, 60.0
 RARE, RARE_SHARE, LOCAL, LOCAL_SHARE = 40, 1 / 30, 4, 1 / 300
 #: Confusions by which one form may come from another.
 MOST_CONFUSED = 2
+#: Shares from which on a form is a word of its own: of its places with strange neighbours, and among these of neighbours it has in several papers.
+STRANGE, OWN = 0.5, 1 / 3
 MARKS = "-‐\xad¬"
 
 _NUM = r"[0-9lIoOSsBbgz!|]{1,4}"
@@ -69,6 +72,7 @@ _SPLIT = re.compile(r"[\[\]{};,=<>+*/%&\"“”:?$·]+")
 _CALL = re.compile(r"(?<=[0-9_])\(|\(\)|\)\(|\)")
 
 
+@lru_cache(maxsize=400_000)
 def skeleton(word: str) -> str:
     """``word`` with confusable glyphs made one; whitespace is left out."""
     w = "".join(word.lower().split()).translate(_GLYPHS)
@@ -84,20 +88,25 @@ def form_of(word: str) -> str:
     return word.lower() if word[1:].islower() or word.isupper() or len(word) == 1 or not any(c.isupper() for c in word[1:]) else word
 
 
-def words_of(line: str) -> list[str]:
-    """The words and numbers of a line; a bracket that stands in a letter's place stays in its word."""
+@lru_cache(maxsize=400_000)
+def _words_in(token: str) -> tuple[str, ...]:
+    """The words and numbers of a text without blanks; a bracket that stands in a letter's place stays in its word."""
     out = []
-    for token in line.split():
-        for piece in _SPLIT.split(token):
-            piece = piece.strip(_EDGE)
-            if "(" in piece and not re.search(r"[A-Za-z]\([a-z]", piece) or ")" in piece:
-                parts = re.split(r"[()]+", piece)
-            elif re.search(r"[0-9]\(", piece):
-                parts = re.split(r"[()]+", piece)
-            else:
-                parts = [piece.strip("()")]
-            out += [p for p in (x.strip(_EDGE + "-") for x in parts) if p and any(c.isalnum() for c in p)]
-    return out
+    for piece in _SPLIT.split(token):
+        piece = piece.strip(_EDGE)
+        if "(" in piece and not re.search(r"[A-Za-z]\([a-z]", piece) or ")" in piece:
+            parts = re.split(r"[()]+", piece)
+        elif re.search(r"[0-9]\(", piece):
+            parts = re.split(r"[()]+", piece)
+        else:
+            parts = [piece.strip("()")]
+        out += [p for p in (x.strip(_EDGE + "-") for x in parts) if p and any(c.isalnum() for c in p)]
+    return tuple(out)
+
+
+def words_of(line: str) -> list[str]:
+    """The words and numbers of a line."""
+    return [w for token in line.split() for w in _words_in(token)]
 
 
 def roman_value(text: str) -> int | None:
@@ -147,8 +156,9 @@ def shape_of(title: str) -> str:
 
 
 def _page_lines(page_id: str, paper: str, page_num: int | None, text: str) -> Iterator[tuple]:
-    m = re.search(r"(\d+)\D*$", page_id)
-    page_no = int(m.group(1)) if m and len(m.group(1)) < 9 else page_num
+    page_no = page_num
+    if page_no is None and (m := re.search(r"(\d{1,8})\D*$", page_id)):
+        page_no = int(m[1])
     lines = text.split("\n")
     solid = [i for i, x in enumerate(lines) if x.strip()]
     for rank, i in enumerate(solid):
@@ -251,10 +261,11 @@ def body_words(body: DataFrame) -> DataFrame:
     return full.select("paper", "page_id", "line_no", "words", "mark", "next", "prev_mark", "prev_last", "prev_at", "code")
 
 
-WORD = T.StructType([T.StructField("paper", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("skel", T.StringType()), T.StructField("half", T.IntegerType()), T.StructField("split", T.IntegerType()), T.StructField("odd", T.BooleanType())])
+WORD = T.StructType([T.StructField("paper", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("skel", T.StringType()), T.StructField("half", T.IntegerType()), T.StructField("split", T.IntegerType()), T.StructField("odd", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("next", T.StringType())])
 
 _NUMBER_MISREAD = re.compile(r"^(?=.*[0-9])[0-9lSsBOo!|I]+$")
 _LONE = frozenset("lSBOo")
+_ODD = re.compile(r"[A-Za-z][!|][A-Za-z]|^[!|][a-z]{2}|[A-Za-z][0-9!]+[a-z]{2}|[a-z][0-9][a-z]|^[0569][a-z]{2,}|[a-z]{2}[!|]$")
 
 
 def odd_by_itself(word: str, code: bool) -> bool:
@@ -265,34 +276,50 @@ def odd_by_itself(word: str, code: bool) -> bool:
         return True
     if len(word) == 1:
         return word in _LONE and not code
-    return bool(re.search(r"[A-Za-z][!|][A-Za-z]|^[!|][a-z]{2}|[A-Za-z][0-9!]+[a-z]{2}|[a-z][0-9][a-z]|^[0569][a-z]{2,}|[a-z]{2}[!|]$", word)) and not re.search(r"\d{2,}[a-z]", word)
+    return bool(_ODD.search(word)) and not re.search(r"\d{2,}[a-z]", word)
+
+
+@lru_cache(maxsize=400_000)
+def _pieces(word: str, whole: bool, code: bool) -> tuple[tuple[str, str, bool], ...]:
+    """``form, skeleton, odd`` of a word's parts between hyphens; a cut word is one part. Numbers are left out."""
+    if word.isdigit():
+        return ()
+    return tuple((form_of(p), skeleton(form_of(p)), odd_by_itself(p, code)) for p in ([word] if whole else re.split(r"[-‐]", word)) if p and not p.isdigit())
 
 
 def word_rows(flanked: DataFrame) -> DataFrame:
-    """A row per word that may be misread: ``form, skel``, for cut words both halves' lines, and whether its own glyphs give it away."""
+    """A row per word that may be misread: ``form, skel``, for cut words both halves' lines, whether its own glyphs give it away, and its neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                words = r["words"] or []
-                n = len(words)
-                for i, w in enumerate(words):
-                    half, cut_at = 0, 0
-                    if r["mark"] and i == n - 1 and r["next"]:
-                        half, cut_at, w = 1, len(w.strip(MARKS)), w.strip(MARKS) + r["next"]
-                    elif r["prev_mark"] and i == 0 and r["prev_last"]:
-                        first = r["prev_last"].strip(MARKS)
-                        half, cut_at, w = 2, len(first), first + w
-                    if w.isdigit():
-                        continue
-                    for piece in [w] if half else re.split(r"[-‐]", w):
-                        if piece and not piece.isdigit():
-                            f = form_of(piece)
-                            rows.append((r["paper"], r["page_id"], r["line_no"], f, skeleton(f), half, cut_at, odd_by_itself(piece, r["code"])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()))], names=WORD.names)
-
-    return flanked.mapInArrow(run, WORD)
+            columns = [batch.column(n).to_pylist() for n in ("words", "mark", "next", "prev_mark", "prev_last", "code")]
+            row, form, skel, halves, splits, odds, left, following = [], [], [], [], [], [], [], []
+            for at, (words, mark, after, prev_mark, prev_last, code) in enumerate(zip(*columns, strict=True)):
+                n = len(words or ())
+                for i in range(n):
+                    w, half, cut_at = words[i], 0, 0
+                    if mark and i == n - 1 and after:
+                        bare = w.strip(MARKS)
+                        half, cut_at, w = 1, len(bare), bare + after
+                    elif prev_mark and i == 0 and prev_last:
+                        bare = prev_last.strip(MARKS)
+                        half, cut_at, w = 2, len(bare), bare + w
+                    a = words[i - 1] if i else None if half == 2 else prev_last
+                    b = words[i + 1] if i + 1 < n else None if half == 1 else after
+                    for f, sk, odd in _pieces(w, bool(half), code):
+                        row.append(at)
+                        form.append(f)
+                        skel.append(sk)
+                        halves.append(half)
+                        splits.append(cut_at)
+                        odds.append(odd)
+                        left.append(form_of(a) if a else None)
+                        following.append(form_of(b) if b else None)
+            whole = [batch.column(n).take(pa.array(row, pa.int32())) for n in ("paper", "page_id", "line_no")]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*whole, *[pa.array(x, k) for x, k in zip((form, skel, halves, splits, odds, left, following), kinds, strict=True)]], names=WORD.names)
+
+    return flanked.select("paper", "page_id", "line_no", "words", "mark", "next", "prev_mark", "prev_last", "code").mapInArrow(run, WORD)
 
 
 def _core(form: str) -> str:
@@ -355,23 +382,64 @@ def _confusable(forms: DataFrame) -> DataFrame:
     return forms.mapInArrow(run, forms.schema)
 
 
-def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``form, right, at`` that are misread wherever they stand, and ``paper, form, right, at`` that are so in one paper."""
-    by_paper = cut(words.groupBy("paper", "skel", "form").agg(F.sum((F.col("half") < 2).cast("int")).alias("n"), F.max((F.col("half") > 0).cast("int")).alias("joined")))
+def paper_forms(words: DataFrame) -> DataFrame:
+    """``paper, skel, form, n, alone, joined``: how often a paper writes a form, how often of it uncut, and whether it does so at cuts."""
+    return words.groupBy("paper", "skel", "form").agg(F.sum((F.col("half") < 2).cast("int")).alias("n"), F.sum((F.col("half") == 0).cast("int")).alias("alone"), F.max((F.col("half") > 0).cast("int")).alias("joined"))
+
+
+def in_context(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``form, right, paper, page_id, line_no, seen, own`` for each place of the forms of ``pairs`` (``form, right``).
+
+    ``seen``: the word before or after it stands beside the right form elsewhere, as it
+    does where the form is a misreading; ``own``: it stands beside the form in
+    another paper, as it does where the form is a word of its own.
+    """
+    names = pairs.select("form").union(pairs.select("right")).distinct()
+    places = cut(words.filter("half = 0").join(sized(names), "form").select("form", "paper", "page_id", "line_no", "left", "next"))
+    sides = F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("next").alias("side"), F.col("next").alias("word")))
+    beside = places.select("form", "paper", F.inline(sides)).filter("word is not null").groupBy("form", "side", "word").agg(F.count_distinct("paper").alias("papers"))
+    beside = cut(beside)
+    out = places.join(sized(pairs), "form")
+    for side in ("left", "next"):
+        of_right = beside.filter(F.col("side") == side).select(F.col("form").alias("right"), F.col("word").alias(side), F.lit(True).alias(f"seen_{side}"))
+        of_form = beside.filter((F.col("side") == side) & (F.col("papers") > 1)).select("form", F.col("word").alias(side), F.lit(True).alias(f"own_{side}"))
+        out = out.join(apart(of_right), ["right", side], "left").join(apart(of_form), ["form", side], "left")
+    either = lambda what: F.coalesce(f"{what}_left", F.lit(False)) | F.coalesce(f"{what}_next", F.lit(False))
+    return out.select("form", "right", "paper", "page_id", "line_no", either("seen").alias("seen"), either("own").alias("own"))
+
+
+def misread_forms(words: DataFrame, by_paper: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``form, right`` that are misread wherever they stand, ``paper, form, right`` that are so in one paper, and ``page_id, line_no, form, right`` that are so at that place.
+
+    A form of letters alone that several papers write may be a word of its own
+    ("bear" beside "hear").  It is, if at half of its places or more neither
+    neighbour is one of the right form's, and a third of these places have a neighbour
+    that it has in other papers too; such a form counts as misread only at the places
+    whose neighbours are the right form's and not its own.
+    """
+    by_paper = cut(paper_forms(words)) if by_paper is None else by_paper
     n_papers = by_paper.agg(F.count_distinct("paper")).first()[0]
     rare_at, local_at = max(RARE, n_papers * RARE_SHARE), max(LOCAL, n_papers * LOCAL_SHARE)
     # a name that its paper writes twice and no other way isn't doubted for its letters
     forms = cut(by_paper.groupBy("skel", "form").agg(F.count(F.lit(1)).alias("papers"), F.max("n").alias("most"), F.min("joined").alias("joined")))
     leading = forms.groupBy("skel").agg(F.max(F.struct("papers", "form")).alias("m")).select("skel", F.col("m.form").alias("right"), F.col("m.papers").alias("right_papers"))
-    by_form = forms.join(leading, "skel").filter((F.col("form") != F.col("right")) & (F.col("right_papers") >= F.greatest(F.lit(FORM_LEAST), FORM_RATIO * F.col("papers")))).select("form", "right")
-    by_form = _confusable(by_form)
+    by_form = forms.join(apart(leading), "skel").filter(F.col("form") != F.col("right"))
+    # a form whose own glyphs give it away is no word, however few papers write the right one
+    told = F.col("form").rlike(_ODD.pattern) & ~F.col("form").rlike(r"\d{2,}[a-z]") & F.col("right").rlike("^[A-Za-z]+$")
+    by_form = by_form.filter(told | (F.col("right_papers") >= F.greatest(F.lit(FORM_LEAST), FORM_RATIO * F.col("papers")))).select("form", "right", "papers")
+    by_form = cut(_confusable(by_form))
+    doubtful = by_form.filter((F.col("papers") > 1) & F.col("form").rlike("^[A-Za-z]+$")).select("form", "right")
+    places = cut(in_context(words, doubtful))
+    own = cut(places.groupBy("form", "right").agg(F.avg(F.col("seen").cast("int")).alias("share"), F.avg(F.when(~F.col("seen"), F.col("own").cast("int"))).alias("own_share"), F.count_distinct(F.when(~F.col("seen"), F.col("paper"))).alias("strange")).filter(f"share <= {1 - STRANGE} and strange > 1 and own_share >= {OWN}").select("form", "right"))
+    placed = places.join(apart(own.select("form")), "form", "left_semi").filter("seen and not own").select("page_id", "line_no", "form", "right")
+    by_form = by_form.select("form", "right").join(apart(own.select("form")), "form", "left_anti")
     # letters in threes over the different words of all papers; their number is bounded by the alphabet
     core = F.regexp_replace(F.lower("form"), "[0-9]+$", "")
     types = forms.select(F.concat(F.lit("^"), core, F.lit("$")).alias("w"), "papers").filter(r"w rlike '^\\^[a-z_]{3,40}\\$$'").groupBy("w").agg(F.sum("papers").alias("papers"))
     grams = types.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, 3))).alias("g"), "papers").groupBy("g").agg(F.sum("papers").alias("n"))
     table = {r.g: r.n for r in grams.collect()}  # at most 28 ** 3 rows
-    settled = by_form.select("form")
-    rare = forms.filter((F.col("papers") < rare_at) & ((F.col("most") < 2) | ~F.col("form").rlike("[0-9]$"))).join(settled, "form", "left_anti").select("form")
+    settled = by_form.select("form").union(own.select("form"))
+    rare = forms.filter((F.col("papers") < rare_at) & ((F.col("most") < 2) | ~F.col("form").rlike("[0-9]$"))).join(apart(settled), "form", "left_anti").select("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,14 +449,14 @@ def misread_forms(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_grams = rare.mapInArrow(run, "form string, right string")
     everywhere = cut(by_form.unionByName(by_grams))
     # in one paper: the form that is written more often there, both being rare elsewhere
-    local = by_paper.join(everywhere.select("form"), "form", "left_anti").filter(F.col("form").rlike("[a-z_]{3}"))
-    local = local.join(forms.filter(F.col("papers") < local_at).select("form"), "form", "left_semi")
+    few = forms.filter((F.col("papers") < local_at) & F.col("form").rlike("[a-z_]{3}")).select("form").join(sized(everywhere.select("form")), "form", "left_anti")
+    local = by_paper.join(apart(few), "form", "left_semi")
     top = local.groupBy("paper", "skel").agg(F.max(F.struct("n", "form")).alias("m")).select("paper", "skel", F.col("m.form").alias("right"), F.col("m.n").alias("right_n"))
-    in_paper = local.join(top, ["paper", "skel"]).filter((F.col("form") != F.col("right")) & (F.col("right_n") > F.col("n"))).select("paper", "form", "right")
-    return everywhere, cut(_confusable(in_paper))
+    in_paper = local.join(apart(top), ["paper", "skel"]).filter((F.col("form") != F.col("right")) & (F.col("right_n") > F.col("n"))).select("paper", "form", "right")
+    return everywhere, cut(_confusable(in_paper)), placed
 
 
-def cut_words(flanked: DataFrame, words: DataFrame) -> DataFrame:
+def cut_words(flanked: DataFrame, by_paper: DataFrame) -> DataFrame:
     """``page_id, line_no`` of the lines that end in the first part of a cut word.
 
     The joined word against the compound: what more papers write decides; with
@@ -396,13 +464,14 @@ def cut_words(flanked: DataFrame, words: DataFrame) -> DataFrame:
     """
     ends = flanked.filter("mark is not null and next is not null").select("page_id", "line_no", "paper", F.regexp_replace(F.element_at("words", -1), f"[{MARKS}]+$", "").alias("a"), F.col("next").alias("b"))
     ends = ends.filter(F.col("a").rlike(r"[A-Za-z]$") & F.col("b").rlike(r"^[A-Za-z0-9(!_]"))
-    fold = F.udf(skeleton, "string")
-    both = ends.withColumn("joined", fold(F.concat("a", "b"))).withColumn("compound", F.concat(fold("a"), F.lit("-"), fold("b")))
-    inner = flanked.select("paper", F.explode("words").alias("w"))
-    compounds = inner.filter(F.col("w").rlike(r"[A-Za-z]{2}[-‐][A-Za-z]{2}")).select("paper", F.split("w", "[-‐]").alias("p")).filter("size(p) = 2")
+    fold = F.udf(skeleton, "string", useArrow=True)
+    both = cut(ends.withColumn("joined", fold(F.concat("a", "b"))).withColumn("compound", F.concat(fold("a"), F.lit("-"), fold("b"))))
+    hyphened = F.filter("words", lambda w: w.rlike(r"^[^-‐]*[A-Za-z]{2}[-‐][A-Za-z]{2}[^-‐]*$"))
+    compounds = flanked.select("paper", F.explode(hyphened).alias("w")).select("paper", F.split("w", "[-‐]").alias("p"))
     compounds = compounds.select("paper", F.concat(fold(F.col("p")[0]), F.lit("-"), fold(F.col("p")[1])).alias("compound")).groupBy("compound").agg(F.count_distinct("paper").alias("as_compound"))
-    whole = words.filter("half = 0").groupBy(F.col("skel").alias("joined")).agg(F.count_distinct("paper").alias("as_word"))
-    rated = both.join(compounds, "compound", "left").join(whole, "joined", "left")
+    asked = both.select(F.col("joined").alias("skel")).distinct()
+    whole = by_paper.filter("alone > 0").select("skel", "paper").join(sized(asked), "skel", "left_semi").groupBy(F.col("skel").alias("joined")).agg(F.count_distinct("paper").alias("as_word"))
+    rated = both.join(apart(compounds), "compound", "left").join(apart(whole), "joined", "left")
     return rated.filter(F.coalesce("as_word", F.lit(0)) >= F.coalesce("as_compound", F.lit(0))).select("page_id", "line_no")
 
 
@@ -410,13 +479,15 @@ def _analyse(pages: DataFrame) -> dict[str, DataFrame]:
     lines = cut(page_lines(pages))
     running, numbers = running_lines(lines), number_lines(lines)
     frame = cut(running.withColumn("kind", F.lit("running")).unionByName(numbers.withColumn("kind", F.lit("pageno"))))
-    body = lines.join(frame.select("page_id", "line_no").distinct(), ["page_id", "line_no"], "left_anti")
+    body = lines.join(sized(frame.select("page_id", "line_no").distinct()), ["page_id", "line_no"], "left_anti")
     flanked = cut(body_words(body))
     words = cut(word_rows(flanked))
-    cuts = cut(cut_words(flanked, words))
-    everywhere, in_paper = misread_forms(words)
+    by_paper = cut(paper_forms(words))
+    cuts = cut_words(flanked, by_paper)
+    everywhere, in_paper, placed = misread_forms(words, by_paper)
     columns = ["page_id", "line_no", "form", "right", "half", "split"]
-    hit = words.join(everywhere, "form").select(*columns).unionByName(words.join(in_paper, ["paper", "form"]).select(*columns))
+    hit = words.join(sized(everywhere), "form").select(*columns).unionByName(words.join(sized(in_paper), ["paper", "form"]).select(*columns))
+    hit = hit.unionByName(placed.withColumn("half", F.lit(0)).withColumn("split", F.lit(0)).select(*columns))
     return {"lines": lines, "frame": frame, "body": body, "flanked": flanked, "words": words, "cuts": cuts, "hits": hit}
 
 
@@ -457,6 +528,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     pages, so a paper of very many pages is no single large task.
     """
     found = _analyse(pages)
+    found["cuts"] = cut(found["cuts"])
     fixes = found["hits"].filter("half = 0").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right")).alias("fixes"))
     # both lines of a cut word are written right, if it is joined
     joined = found["cuts"].join(found["flanked"].select(F.col("prev_at.page_id").alias("page_id"), F.col("prev_at.line_no").alias("line_no"), F.col("page_id").alias("to_page"), F.col("line_no").alias("to_line")), ["page_id", "line_no"])

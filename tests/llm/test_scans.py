@@ -50,8 +50,8 @@ def test_numbers_and_skeletons():
 
 def test_rare_forms_are_judged_by_their_share_of_papers(spark):
     lines = [(f"P{p}", "outlme" if p % 40 == 0 else "outline") for p in range(2400)] + [(f"P{p}", w) for p in range(0, 2400, 400) for w in ("Zanrnivo", "Zanmivo", "Zanmivo")]
-    words = spark.createDataFrame([(p, w, S.skeleton(w), 0) for p, w in lines], "paper string, form string, skel string, half int")
-    everywhere, in_paper = S.misread_forms(words)
+    words = spark.createDataFrame([(p, "", 0, w, S.skeleton(w), 0, "", "") for p, w in lines], "paper string, page_id string, line_no int, form string, skel string, half int, left string, next string")
+    everywhere, in_paper, _ = S.misread_forms(words)
     assert rows(everywhere) == [("outlme", "outline")]
     assert {r[1:] for r in rows(in_paper)} == {("Zanrnivo", "Zanmivo")}
 
@@ -61,3 +61,31 @@ def test_cut_words_are_written_right_in_paragraphs(spark):
     df = pages(spark).unionByName(spark.createDataFrame(more, "page_id string, paper string, page_num int, text string, extracted_at int"))
     whole = " ".join(r.text for r in S.paragraphs(df).filter("paper = 'Y'").orderBy("paragraph").collect())
     assert whole == "Q1. Say when the lock has been removed, from the table with the larger one and the number of steps is removed. Then it is Removed again."
+
+
+def test_neighbours_decide_between_real_words(spark):
+    """Words that share a skeleton and are one confusion apart: each stays where its own neighbours are, and is misread among the other's."""
+    out = []
+    for p in range(200):
+        text = f"Q1. We hear a bell in the town and fill a form with ink after {p + 20} days.\nIt has a form of its own and you hear a noise.\n"
+        if p % 20 == 0:
+            text += "A brown bear sleeps near the old farm house until a brown bear wakes.\nThey own the old farm house.\n"
+        if p == 7:
+            text += "Now we bear a bell in the town.\n"
+        out.append((f"P{p:03}_p001", f"P{p:03}", 1, text, 0))
+    df = spark.createDataFrame(out, "page_id string, paper string, page_num int, text string, extracted_at int")
+    got = {(p, n) for p, n, k in rows(S.line_kinds(df)) if k == "misread"}
+    assert got == {("P007_p001", 3)}
+    texts = {r.paper: r.text for r in S.paragraphs(df).collect()}
+    assert "A brown bear sleeps near the old farm house" in texts["P020"] and "Now we hear a bell" in texts["P007"]
+
+
+def test_words_given_away_by_their_glyphs_are_mended(spark):
+    more = [(f"Z{i}_p001", f"Z{i}", 1, f"Q1. The jailer of {i + 12} cells keeps a marble.", 0) for i in range(3)] + [("Y_p001", "Y", 1, "Q1. The ja!ler keeps a mar6le.", 0)]
+    df = spark.createDataFrame(more, "page_id string, paper string, page_num int, text string, extracted_at int")
+    assert [r.text for r in S.paragraphs(df).filter("paper = 'Y'").collect()] == ["Q1. The jailer keeps a marble."]
+
+
+def test_pages_are_ordered_by_page_num(spark):
+    df = spark.createDataFrame([("A_p009", "A", 1, "Q1. Say when the lock was", 0), ("A_p003", "A", 2, "taken from the door.", 0)], "page_id string, paper string, page_num int, text string, extracted_at int")
+    assert [r.text for r in S.paragraphs(df).collect()] == ["Q1. Say when the lock was taken from the door."]
