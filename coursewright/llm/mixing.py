@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursewright.session import sized
+
 #: Rounding slack of the comparison of tokens with a share of the total.
 _EPS = 1e-9
 
@@ -59,15 +61,15 @@ def repetition_rates(totals: DataFrame, targets: DataFrame) -> DataFrame:
 def mixed_set(sized: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens_col: str = "n_tokens", seed: int = 42) -> DataFrame:
     """``id_col, source, n_tokens, copies`` of each document that the mixed set holds (``copies`` from 1 to ``max_repeat``).
 
-    ``rates`` has one row per target source: a fixed list that is broadcast only
-    if the optimizer knows it small; a hot source otherwise falls to the skew join.
+    ``rates`` has one row per target source; it is broadcast if it is counted to be
+    small, so that no source's documents are brought together.
     Rows with the same id draw alike.  Documents of no target source are left out.
     """
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     whole = F.floor("rate")
     copies = (whole + F.when(unit < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     docs = sized.select(F.col(id_col), F.col(source_col).alias("source"), F.col(tokens_col).alias("n_tokens"))
-    return docs.join(rates.select("source", "rate"), "source").select(id_col, "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
+    return docs.join(sized(rates.select("source", "rate")), "source").select(id_col, "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:

@@ -65,9 +65,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed set itself: a row per copy of a document, numbered from 1."""
     sized = cut(_sized(spark, sf_dir))
     rates = mixing.repetition_rates(cut(mixing.source_totals(sized)), table(spark, sf_dir, "mix_targets"))
-    return mixing.mixed_set(sized, rates)
+    return mixing.emit_copies(mixing.mixed_set(sized, rates)).select("doc_id", "copy_no", "source", "n_tokens")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

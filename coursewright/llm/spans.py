@@ -5,8 +5,9 @@ hash function the subsequences of a record that share their least token form
 *compact windows* ``(left, centre, right)``: every run of tokens inside
 ``left..right`` that holds ``centre`` has it as its minimum.  Splitting at the
 minimum (a Cartesian tree over the hashes) lists them; those too short for a span
-of ``least`` characters are left out, so a record of ``n`` characters has about
-``2 n / least`` windows.
+of ``least`` characters are left out.  Tokens equal to the minimum are one node of
+the tree: they make one window and split it at all their places, so a record of
+``n`` characters has about ``2 n / least`` windows and periodic text fewer.
 
 A span that stands in two records has the same least token in both, whatever the
 hash function; so for *every* one of the hash functions it lies in a window whose
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coursewright.session import cut
+from coursewright.session import apart, cut
 
 #: Characters hashed at a time.
 GROUP_CHARS = 1_000_000
@@ -65,16 +66,22 @@ def gram_hashes(points: np.ndarray, gram: int, mix: int) -> np.ndarray:
 
 
 def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """``(left, centre, right)`` of each compact window of at least ``least`` tokens; the leftmost of equal minima is the centre."""
+    """``(left, centre, right)`` of each compact window of at least ``least`` tokens; ``centre`` is the first of equal minima, and every run inside that holds one of them has it as its minimum."""
     out, todo = [], [(0, len(hashes) - 1)]
     while todo:
         a, b = todo.pop()
         if b - a + 1 < least:
             continue
-        c = a + int(np.argmin(hashes[a : b + 1]))
-        out.append((a, c, b))
-        todo.append((a, c - 1))
-        todo.append((c + 1, b))
+        part = hashes[a : b + 1]
+        places = np.flatnonzero(part == part.min())
+        out.append((a, a + int(places[0]), b))
+        if len(places) == 1:
+            c = a + int(places[0])
+            todo += ((a, c - 1), (c + 1, b))
+            continue
+        bounds = np.concatenate([[a - 1], a + places, [b + 1]])
+        wide = np.flatnonzero(np.diff(bounds) - 1 >= least)
+        todo += zip((bounds[wide] + 1).tolist(), (bounds[wide + 1] - 1).tolist(), strict=True)
     return out
 
 
@@ -202,10 +209,10 @@ def shared_runs(records: DataFrame, least: int = 100, gram: int = 50, hashes: in
     heads = classes.groupBy("same").agg(F.min(F.struct("rec", "text")).alias("m"), F.count(F.lit(1)).alias("copies"))
     heads = cut(heads.select("m.rec", "m.text", "copies", "same"))
     windows = cut(window_table(heads, least, gram, hashes))
-    kept = windows.join(_shared_keys(windows, ["fn", "token"]), ["fn", "token"], "left_semi")
+    kept = windows.join(apart(_shared_keys(windows, ["fn", "token"])), ["fn", "token"], "left_semi")
     grouped = kept.groupBy("rec").agg(F.collect_list(F.struct("fn", "lo", "hi")).alias("windows"))  # a record's own windows: as many as its length allows
-    digests = cut(candidate_digests(heads.select("rec", "text").join(grouped, "rec"), least, hashes))
-    hits = digests.join(_shared_keys(digests, ["d1", "d2"]), ["d1", "d2"], "left_semi").select("rec", "start")
+    digests = cut(candidate_digests(heads.select("rec", "text").join(apart(grouped), "rec"), least, hashes))
+    hits = digests.join(apart(_shared_keys(digests, ["d1", "d2"])), ["d1", "d2"], "left_semi").select("rec", "start")
     by_place = Window.partitionBy("rec").orderBy("start")
     marked = hits.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(by_place), F.lit(-least - 1)) + least).cast("int"))
     runs = (
@@ -215,8 +222,8 @@ def shared_runs(records: DataFrame, least: int = 100, gram: int = 50, hashes: in
         .select("rec", "start_pos", "n_chars")
     )
     alone = heads.filter("copies = 1").select("rec")
-    copied = classes.select("rec", "same", F.length("text").alias("n")).join(heads.filter("copies > 1").select("same"), "same", "left_semi")
-    return runs.join(alone, "rec", "left_semi").unionByName(copied.select("rec", F.lit(1).alias("start_pos"), F.col("n").alias("n_chars")))
+    copied = classes.select("rec", "same", F.length("text").alias("n")).join(apart(heads.filter("copies > 1").select("same")), "same", "left_semi")
+    return runs.join(apart(alone), "rec", "left_semi").unionByName(copied.select("rec", F.lit(1).alias("start_pos"), F.col("n").alias("n_chars")))
 
 
 def record_shares(records: DataFrame, runs: DataFrame) -> DataFrame:
@@ -224,7 +231,7 @@ def record_shares(records: DataFrame, runs: DataFrame) -> DataFrame:
     sums = runs.groupBy("rec").agg(F.sum("n_chars").alias("shared_chars"))
     n = F.coalesce(F.length("text"), F.lit(0))
     shared = F.coalesce("shared_chars", F.lit(0).cast("long"))
-    return records.join(sums, "rec", "left").select("rec", n.alias("n_chars"), shared.alias("shared_chars"), F.when(n > 0, F.round(shared / n, 6)).otherwise(F.lit(0.0)).alias("share"))
+    return records.join(apart(sums), "rec", "left").select("rec", n.alias("n_chars"), shared.alias("shared_chars"), F.when(n > 0, F.round(shared / n, 6)).otherwise(F.lit(0.0)).alias("share"))
 
 
 def question_records(pyq: DataFrame, bank: DataFrame) -> DataFrame:

@@ -233,3 +233,19 @@ def test_batches_through_the_store_equal_one_backlog(spark):
     from coursewright.llm import queries
 
     assert rows(queries.p4_batches(spark, SF)) == rows(queries.p4_found(spark, SF))
+
+
+def test_periodic_text_has_few_windows():
+    import numpy as np
+
+    dashes = np.zeros(200_000, np.uint64)
+    assert spans.compact_windows(dashes, 51) == [(0, 0, 199_999)]
+    wave = np.tile(np.arange(7, dtype=np.uint64), 10_000)
+    assert len(spans.compact_windows(wave, 51)) == 1
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 40, 2_000).astype(np.uint64)  # many equal minima
+    windows = spans.compact_windows(noise, 20)
+    for i in range(len(noise) - 20):  # every run of twenty lies in a window of its least token
+        m = noise[i : i + 20].min()
+        assert any(a <= i and i + 19 <= b and noise[c] == m for a, c, b in windows)
+    assert len(windows) < 2 * len(noise) / 20 * 3
