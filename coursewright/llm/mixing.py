@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursewright.session import sized
+from coursewright.session import sized as by_count
 
 #: Rounding slack of the comparison of tokens with a share of the total.
 _EPS = 1e-9
@@ -69,7 +69,7 @@ def mixed_set(sized: DataFrame, rates: DataFrame, id_col: str = "doc_id", source
     whole = F.floor("rate")
     copies = (whole + F.when(unit < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     docs = sized.select(F.col(id_col), F.col(source_col).alias("source"), F.col(tokens_col).alias("n_tokens"))
-    return docs.join(sized(rates.select("source", "rate")), "source").select(id_col, "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
+    return docs.join(by_count(rates.select("source", "rate")), "source").select(id_col, "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
