@@ -71,7 +71,7 @@ def bloom_keyword_rule(spark, d):
 
 
 _STOP_SQL = "['" + "','".join(X.STOP_WORDS) + "']"
-_STEMS_SQL = f"list_distinct(list_transform(list_filter(list_distinct(regexp_extract_all(lower(coalesce(t, '')), '[a-z]{{4,}}')), lambda w: NOT list_contains({_STOP_SQL}, w)), lambda w: regexp_replace(w, '(?:ing|ion|ions|ed|es|s)$', '')))"
+_STEMS_SQL = f"list_distinct(list_transform(list_filter(list_distinct(regexp_extract_all(lower(coalesce(t, '')), '[a-z]{{4,}}')), lambda w: NOT list_contains({_STOP_SQL}, w)), lambda w: CASE WHEN w IN ('ions') THEN w ELSE regexp_replace(w, '(?:ing|ion|ions|ed|es|s)$', '') END))"
 
 
 @query(f"""SELECT doc_id, CAST(len(s) AS INT) AS n_stems, array_to_string(list_sort(s), ' ') AS stems FROM (SELECT doc_id, {_STEMS_SQL} AS s FROM (SELECT doc_id, text AS t FROM documents))""")
@@ -109,7 +109,8 @@ def keyword_scores(spark, d):
     return table(spark, d, "documents").select("doc_id", *[total(ks).alias(t) for t, ks in _KEYWORDS.items()])
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE (CASE WHEN regexp_extract(left(text, 120), '(?s)^(.*)\\s', 1) <> '' THEN regexp_extract(left(text, 120), '(?s)^(.*)\\s', 1) ELSE left(text, 120) END) || ' ...' END AS short FROM documents""")
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS text FROM documents)
+  SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE (CASE WHEN regexp_extract(left(text, 120), '(?s)^(.*)\\s', 1) <> '' THEN regexp_extract(left(text, 120), '(?s)^(.*)\\s', 1) ELSE left(text, 120) END) || ' ...' END AS short FROM t""")
 def truncate_words(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncate_words(F.col("text"), 120).alias("short"))
 
@@ -123,12 +124,15 @@ def marks_expression(spark, d):
     return e.select("id", "expr", X.marks_total(F.col("expr")).alias("total"))
 
 
-@query("""SELECT bank_id, length(regexp_replace(coalesce(question, ''), '^\\s*(?:\\*\\*)?Q\\.?\\s*[0-9]+\\s*(?:\\*\\*)?\\s*[:.)\\-]*\\s*(?:\\*\\*)?\\s*', '')) AS n_chars FROM generated_questions""")
+@query("""SELECT bank_id, length(regexp_replace(coalesce(question, ''), '^\\s*[*]*(?i:question|ques|que|q)\\s*[.]?\\s*[0-9]+\\s*[*]*\\s*[:.)\\-]*\\s*[*]*\\s*', '')) AS n_chars FROM generated_questions""")
 def strip_question_number(spark, d):
     return table(spark, d, "generated_questions").select("bank_id", F.length(X.strip_number(F.coalesce("question", F.lit("")))).cast("long").alias("n_chars"))
 
 
-@query(f"""SELECT page_id, (regexp_matches(coalesce(text, ''), '{_regex_alternatives(X.REFUSAL)}') OR length(trim(coalesce(text, ''), ' ')) < 30) AS is_junk FROM pyq_pages""")
+_REFUSED = " OR ".join(f"starts_with(s, '{w}')" for w in X.REFUSALS)
+
+
+@query(f"""SELECT page_id, ({_REFUSED}) OR n < 30 AS is_junk FROM (SELECT page_id, trim(regexp_replace(lower(left(ltrim(coalesce(text, ''), ' '), 40)), '[^a-z0-9]+', ' ', 'g'), ' ') AS s, length(trim(coalesce(text, ''), ' ')) AS n FROM pyq_pages)""")
 def junk_page_filter(spark, d):
     return table(spark, d, "pyq_pages").select("page_id", X.is_junk_page(F.col("text")).alias("is_junk"))
 
