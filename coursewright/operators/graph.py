@@ -84,3 +84,35 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     orphan = ids.join(touched, "key", "left_anti").select(F.lit("orphan").alias("problem"), "key")
     twice = edges.groupBy("src", "dst").count().filter("count > 1").select(F.lit("repeated edge").alias("problem"), F.col("src").alias("key")).distinct()
     return unknown("src", "unknown source").unionByName(unknown("dst", "unknown target")).unionByName(orphan).unionByName(twice)
+
+
+def closure(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``start, node, depth``: every node that can be reached (the start itself at depth 0) with the least number of steps.
+
+    ``edges``: ``src, dst``.  Without ``depth`` the walk ends when a step reaches nothing
+    new; loops are no trouble, as a node is entered once per start.
+    """
+    e = cut(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
+    reached = frontier = cut(starts.filter("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    step = 0
+    while depth is None or step < depth:
+        step += 1
+        new = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(reached, ["start", "node"], "left_anti")
+        frontier = cut(new.withColumn("depth", F.lit(step)))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def missing(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The keys asked for that don't exist."""
+    return asked.select(key).filter(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti")
+
+
+def require(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``asked`` as it is if all its keys exist; a ``KeyError`` that names up to five of the missing ones otherwise."""
+    gone = [r[0] for r in missing(asked, known, key).orderBy(key).limit(5).collect()]
+    if gone:
+        raise KeyError(f"unknown {key}: {', '.join(map(str, gone))}")
+    return asked

@@ -7,6 +7,8 @@ block keeps only its own nearest before the rest is shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +40,22 @@ def nearest_distinct(pairs: DataFrame, query_id: str, text: str, n: int, order:
     """The ``n`` nearest with different texts: of each text the nearest row."""
     one = pairs.withColumn("_t", F.row_number().over(Window.partitionBy(query_id, text).orderBy(*order))).filter("_t = 1").drop("_t")
     return one.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).filter(F.col("rank") <= n).drop("_block")
+
+
+def in_tiers(tiers: list[DataFrame], query_id: str, row_id: str, n: int, pool: int, order: list, prefer=None) -> DataFrame:
+    """The first ``n`` rows per query over tiers, an earlier tier going before a later one; ``tier`` and ``rank`` are added.
+
+    Of each tier the ``pool`` nearest are looked at; among these rows for which ``prefer``
+    is false go first.  A row found in several tiers counts in the first.
+    """
+    pools = [nearest(t, query_id, pool, order).withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)]
+    columns = [c for c in pools[0].columns if all(c in p.columns for p in pools) and c != "rank"]
+    every = reduce(DataFrame.unionByName, [p.select(columns) for p in pools])
+    once = every.withColumn("_r", F.row_number().over(Window.partitionBy(query_id, row_id).orderBy("tier"))).filter("_r = 1").drop("_r")
+    by = ["tier", *([prefer] if prefer is not None else []), *order]
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*by))).filter(F.col("rank") <= n)
+
+
+def read_page(rows: DataFrame, order: list[str], page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 1) of ``size`` rows in an order; a page beyond the last is empty."""
+    return rows.orderBy(*order).offset((page - 1) * size).limit(size)

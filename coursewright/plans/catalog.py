@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursewright.plans import graph_queries, nested_records, parsing_queries, retrieval_queries, sequence_queries, stream_queries, sync_queries, text_queries
+from coursewright.plans import corpus_queries, graph_queries, nested_records, parsing_queries, retrieval_queries, sequence_queries, stream_queries, sync_queries, text_queries
 
-_MODULES = (nested_records, text_queries, retrieval_queries, graph_queries, sync_queries, sequence_queries, parsing_queries, stream_queries)
+_MODULES = (nested_records, text_queries, retrieval_queries, graph_queries, sync_queries, sequence_queries, parsing_queries, stream_queries, corpus_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

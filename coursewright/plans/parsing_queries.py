@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coursewright.functions import parsing as P
 from coursewright.functions.text import count_of, word_ngrams
+from coursewright.plans import cases as K
 from coursewright.plans.registry import Registry
-from coursewright.session import table
+from coursewright.session import apart, sized, table
 
 query = Registry()
 
@@ -41,15 +43,26 @@ def detect_subject(spark, d):
     return h.join(s, F.col("low").contains(F.col("name"))).groupBy("paper").agg(F.max_by("subject", F.struct(F.length("name"), "subject")).alias("subject"))
 
 
-@query("""SELECT DISTINCT page_id, text AS redacted FROM pyq_pages""")
+def _pages_and(spark, d, cases):
+    pages = table(spark, d, "pyq_pages").select("page_id", "text").distinct()
+    return pages.unionByName(K.frame(spark, cases, "page_id string, text string"))
+
+
+@query(f"SELECT DISTINCT page_id, text AS redacted FROM pyq_pages UNION ALL {K.values(K.PERSONAL, (0, 2), 'page_id, redacted')}")
 def redact_pii(spark, d):
-    """Pages without lines of candidates' data; these tables hold none, so that nothing may be lost."""
-    return table(spark, d, "pyq_pages").select("page_id", P.redact_udf("text").alias("redacted")).distinct()
+    """Pages without lines of candidates' data. The pages of these tables hold none, so nothing of them may be lost; the written cases do."""
+    return _pages_and(spark, d, K.PERSONAL).select("page_id", P.redact_udf("text").alias("redacted"))
 
 
-@query("""SELECT DISTINCT page_id, text AS cleaned FROM pyq_pages""")
+@query(f"SELECT DISTINCT page_id, text AS cleaned FROM pyq_pages UNION ALL {K.values(K.CHATTER, (0, 2), 'page_id, cleaned')}")
 def strip_chatter(spark, d):
-    return table(spark, d, "pyq_pages").select("page_id", P.chatter_udf("text").alias("cleaned")).distinct()
+    """Pages without what a model added; the same holds of pages and cases."""
+    return _pages_and(spark, d, K.CHATTER).select("page_id", P.chatter_udf("text").alias("cleaned"))
+
+
+@query(f"SELECT DISTINCT page_id, text AS cleaned FROM pyq_pages UNION ALL {K.values(K.HEADINGS, (0, 2), 'page_id, cleaned')}")
+def repeated_headings(spark, d):
+    return _pages_and(spark, d, K.HEADINGS).select("page_id", P.headings_udf("text").alias("cleaned"))
 
 
 @query()
@@ -57,10 +70,12 @@ def tidy_markdown(spark, d):
     return _questions(spark, d).select("id", P.clean_question_udf("document").alias("cleaned"))
 
 
-@query()
+@query(K.values(K.CALCULATIONS, (0, 2, 3, 4, 5), "doc_id, left_side, stated, value, ok"))
 def check_arithmetic(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.explode(P.calculations_udf("text")).alias("c"))
-    return c.select("doc_id", "c.left", "c.stated", F.round("c.value", 6).alias("value"), "c.ok")
+    """Written calculations in documents (these tables hold none) and in the written cases, with whether they are right."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(K.frame(spark, K.CALCULATIONS, "doc_id string, text string"))
+    c = texts.filter(F.col("text").contains("=")).select("doc_id", F.explode(P.calculations_udf("text")).alias("c"))
+    return c.select("doc_id", F.col("c.left").alias("left_side"), "c.stated", F.round("c.value", 6).alias("value"), "c.ok")
 
 
 @query("""WITH one AS (SELECT paper_id, arg_max(body, loaded_at) AS body FROM paper_files GROUP BY paper_id), j AS (SELECT paper_id, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM one) SELECT paper_id, j IS NOT NULL AS parsed, CAST(json_array_length(j, '$.slots') AS INT) AS n_slots FROM j""")
@@ -72,23 +87,48 @@ def parse_json_reply(spark, d):
     return j.select("paper_id", F.col("j").isNotNull().alias("parsed"), F.size(F.expr("try_variant_get(j, '$.slots', 'array<variant>')")).alias("n_slots"))
 
 
+_keep_udf = F.udf(lambda found: [int(found[i]) for i in P.numbering([int(x) for x in found])], T.ArrayType(T.IntegerType()), useArrow=True)
+
+
 @query()
 def choose_question_markers(spark, d):
-    """Per paper the question numbers that make the best numbering."""
-    p = table(spark, d, "pyq_pages").groupBy("page_id").agg(F.first("paper").alias("paper"), F.first("text").alias("text"))
+    """Per paper the question numbers that make the best numbering; a page sent again counts as its latest."""
+    p = table(spark, d, "pyq_pages").filter("page_id is not null").groupBy("page_id").agg(F.max(F.struct("extracted_at", "text", "paper", "page_num")).alias("m")).select("page_id", "m.paper", "m.text")
     n = p.select("paper", "page_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?m)^Q\.? ?([0-9]{1,3})\b"), F.lit(1)).alias("n"))
     listed = n.groupBy("paper").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "n"))), lambda x: x["n"])).alias("found"))
-    keep = F.udf(lambda found: [int(found[i]) for i in P.numbering([int(x) for x in found])], "array<int>", useArrow=True)
-    return listed.select("paper", F.size("found").alias("n_found"), keep("found").alias("kept"))
+    return listed.select("paper", F.size("found").alias("n_found"), _keep_udf("found").alias("kept"))
+
+
+@query(K.values(K.NUMBERINGS, (0, 2), "case_id, kept"))
+def best_numbering(spark, d):
+    """The choice of markers on written cases: strays, jumps ahead, new starts."""
+    c = K.frame(spark, K.NUMBERINGS, "case_id string, found string")
+    return c.select("case_id", F.array_join(_keep_udf(F.split("found", " ")).cast("array<string>"), " ").alias("kept"))
+
+
+_ratio_udf = F.udf(lambda a, b: P.alikeness(a, b), T.DoubleType(), useArrow=True)
 
 
 @query()
 def fuzzy_code_match(spark, d):
-    """Each printed outcome description with the known one that is most alike."""
-    known = [(r.co_id, r.description) for r in table(spark, d, "course_outcomes").select("co_id", "description").orderBy("co_id").collect()]  # a fixed list of a few dozen
-    texts = table(spark, d, "pyq_questions").select(F.col("metadata.co_description").alias("text")).filter("text is not null").distinct()
-    match = F.udf(lambda t: (lambda m: None if m is None else {"co_id": m[0], "ratio": round(m[1], 4)})(P.closest_description(t, known)), "struct<co_id:string,ratio:double>", useArrow=True)
-    return texts.select("text", match("text").alias("m")).select("text", "m.co_id", "m.ratio")
+    """Each printed outcome description with the known one of its subject that is most alike, at 0.55 or more; of equals the first."""
+    known = table(spark, d, "course_outcomes").select("subject", "co_id", "description")
+    texts = table(spark, d, "pyq_questions").select(F.col("metadata.subject").alias("subject"), F.col("metadata.co_description").alias("text")).filter("text is not null").distinct()
+    rated = texts.join(sized(known), "subject").withColumn("ratio", _ratio_udf("text", "description"))
+    best = rated.filter("ratio >= 0.55").groupBy("subject", "text").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "co_id")).alias("m"))
+    return texts.join(best, ["subject", "text"], "left").select("subject", "text", "m.co_id", F.round(-F.col("m.r"), 4).alias("ratio"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT metadata.source AS paper, document AS text FROM pyq_questions WHERE metadata.type = 'header' UNION ALL {K.values(K.OUTCOME_ROWS, (0, 1), "paper, text")}), l AS (SELECT paper, unnest(string_split(text, chr(10))) AS line FROM h),
+ c AS (SELECT paper, list_transform(string_split_regex(regexp_replace(line, '^\\s*\\||\\|\\s*$|\\\\\\\\\\s*$', '', 'g'), '[|&]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS cells FROM l WHERE regexp_matches(line, '[|&]'))
+ SELECT paper, cells[1] AS code, cells[2] AS description FROM c WHERE regexp_matches(cells[1], '^C[A-Z]{{0,2}}[ .-]?[0-9]+([.][0-9]+)?$') AND length(cells[2]) >= 15""")
+def outcome_rows(spark, d):
+    """Code and description of the rows of the outcome tables that headers print, with cells parted by bars or ampersands, of papers and of the written cases."""
+    h = table(spark, d, "pyq_questions").filter("metadata.type = 'header'").select(F.col("metadata.source").alias("paper"), F.col("document").alias("text")).distinct()
+    lines = h.unionByName(K.frame(spark, K.OUTCOME_ROWS, "paper string, text string")).select("paper", F.explode(F.split("text", "\n")).alias("line"))
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$|\\\\\s*$", ""), r"[|&]"), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    rows = lines.filter(F.col("line").rlike("[|&]")).select("paper", F.get(cells, F.lit(0)).alias("code"), F.get(cells, F.lit(1)).alias("description"))
+    return rows.filter(F.col("code").rlike(r"^C[A-Z]{0,2}[ .-]?[0-9]+([.][0-9]+)?$") & (F.length("description") >= 15))
 
 
 _KW = {"OSK": ["thread", "process", "page"], "NET": ["packet", "router", "socket"], "RDB": ["relation", "schema", "tuple"], "CMP": ["token", "parser", "grammar"]}
@@ -151,8 +191,8 @@ def _grams_sql(n: int) -> str:
 
 
 def _overlap_sql(n: int, least: str, which: str) -> str:
-    return f"""WITH a AS (SELECT id AS rec, metadata.subject AS subject, arg_max(document, loaded_at) AS t FROM pyq_questions WHERE metadata.type = 'question' AND id IS NOT NULL GROUP BY ALL), b AS (SELECT bank_id AS rec, arg_max(subject, loaded_at) AS subject, arg_max(question, loaded_at) AS t FROM generated_questions WHERE {which} GROUP BY bank_id),
- ga AS (SELECT rec, subject, {_grams_sql(n)} AS g FROM (SELECT rec, subject, {_W} AS w FROM a)), gb AS (SELECT rec, subject, {_grams_sql(n)} AS g FROM (SELECT rec, subject, {_W} AS w FROM b)), j AS (SELECT gb.rec AS bank_id, ga.rec AS id, len(list_intersect(gb.g, ga.g)) AS s, len(gb.g) AS n FROM gb JOIN ga USING (subject) WHERE len(gb.g) > 0)
+    return f"""WITH a AS (SELECT id AS rec, metadata.subject AS subject, arg_max(document, loaded_at) AS t FROM pyq_questions WHERE metadata.type = 'question' AND id IS NOT NULL GROUP BY ALL UNION ALL SELECT bank_id, arg_max(subject, loaded_at), arg_max(question, loaded_at) FROM generated_questions GROUP BY bank_id), b AS (SELECT bank_id AS rec, arg_max(subject, loaded_at) AS subject, arg_max(question, loaded_at) AS t FROM generated_questions WHERE {which} GROUP BY bank_id),
+ ga AS (SELECT rec, subject, {_grams_sql(n)} AS g FROM (SELECT rec, subject, {_W} AS w FROM a)), gb AS (SELECT rec, subject, {_grams_sql(n)} AS g FROM (SELECT rec, subject, {_W} AS w FROM b)), j AS (SELECT gb.rec AS bank_id, ga.rec AS id, len(list_intersect(gb.g, ga.g)) AS s, len(gb.g) AS n FROM gb JOIN ga USING (subject) WHERE len(gb.g) > 0 AND gb.rec <> ga.rec)
  SELECT bank_id, id, round(s / CAST(n AS DOUBLE), 6) AS overlap FROM j WHERE s / CAST(n AS DOUBLE) >= {least}"""
 
 
@@ -167,16 +207,18 @@ def _overlap(a, b, n: int, least: float):
     ea = a.select("id", "subject", F.explode("g").alias("t"))
     eb = b.select("bank_id", "subject", F.size("g").alias("n"), F.explode("g").alias("t"))
     df = ea.groupBy("subject", "t").agg(F.count(F.lit(1)).alias("df"))
-    known = eb.join(df, ["subject", "t"], "left").withColumn("r", F.row_number().over(Window.partitionBy("bank_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
+    known = eb.join(apart(df), ["subject", "t"], "left").withColumn("r", F.row_number().over(Window.partitionBy("bank_id").orderBy(F.coalesce("df", F.lit(0)), "t")))
     prefix = known.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & F.col("df").isNotNull())
-    cand = prefix.join(ea, ["subject", "t"]).select("bank_id", "id").distinct()
+    cand = prefix.join(apart(ea), ["subject", "t"]).filter("bank_id <> id").select("bank_id", "id").distinct()
     shared = F.size(F.array_intersect("gb", "ga")) / F.size("gb")
-    j = cand.join(b.select("bank_id", F.col("g").alias("gb")), "bank_id").join(a.select("id", F.col("g").alias("ga")), "id")
+    j = cand.join(apart(b.select("bank_id", F.col("g").alias("gb"))), "bank_id").join(apart(a.select("id", F.col("g").alias("ga"))), "id")
     return j.filter(shared >= least).select("bank_id", "id", F.round(shared, 6).alias("overlap"))
 
 
 def _past(spark, d):
-    return _questions(spark, d).select("id", F.col("metadata.subject").alias("subject"), F.col("document").alias("text"))
+    """Past questions and those of the bank itself."""
+    past = _questions(spark, d).select("id", F.col("metadata.subject").alias("subject"), F.col("document").alias("text"))
+    return past.unionByName(_bank(spark, d).withColumnRenamed("bank_id", "id"))
 
 
 def _bank(spark, d, which="true"):
@@ -186,13 +228,13 @@ def _bank(spark, d, which="true"):
 
 @query(_overlap_sql(5, "0.8", "true"))
 def shingle_overlap(spark, d):
-    """Past questions that hold at least 0.8 of a bank question's five-word shingles."""
+    """Past and bank questions that hold at least 0.8 of another bank question's five-word shingles."""
     return _overlap(_past(spark, d), _bank(spark, d), 5, 0.8)
 
 
 @query(_overlap_sql(3, "0.5", "regexp_matches(bank_id, '[024]0$')"))
 def trigram_overlap(spark, d):
-    """The same by word trigrams and one half, for the bank questions whose number is divisible by 20 against all past questions."""
+    """The same by word trigrams and one half, for the bank questions whose number is divisible by 20 against all past and bank questions."""
     return _overlap(_past(spark, d), _bank(spark, d, "bank_id rlike '[024]0$'"), 3, 0.5)
 
 

@@ -25,9 +25,10 @@ def _expected(spark, d):
     return table(spark, d, "generated_questions").filter("status = 'done'").select("bank_id").distinct()
 
 
-@query(f"WITH {_EXPECTED}, {_STORED} SELECT bank_id FROM stored WHERE bank_id NOT IN (SELECT bank_id FROM expected)")
+@query(f"WITH {_EXPECTED}, {_STORED} SELECT bank_id FROM expected WHERE bank_id NOT IN (SELECT bank_id FROM stored)")
 def stale_ids(spark, d):
-    return S.stale_keys(_stored(spark, d), _expected(spark, d), "bank_id")
+    """Finished questions of the bank that no paper points to."""
+    return S.stale_keys(_expected(spark, d), _stored(spark, d), "bank_id")
 
 
 @query(f"WITH {_EXPECTED}, {_STORED} SELECT coalesce(e.bank_id, s.bank_id) AS bank_id, CASE WHEN s.bank_id IS NULL THEN 'missing' ELSE 'extra' END AS status FROM expected e FULL JOIN stored s ON e.bank_id = s.bank_id WHERE e.bank_id IS NULL OR s.bank_id IS NULL")
@@ -47,20 +48,21 @@ def last_answer_per_id(spark, d):
     return S.last_per_key(e, "user_id", ["ts", "event_id"], "event_type <> 'error'").select("user_id", "event_id", "value")
 
 
-@query("""WITH old AS (SELECT bank_id, arg_min(co, loaded_at) AS co, arg_min(marks, loaded_at) AS marks FROM generated_questions WHERE batch_no <= 6 GROUP BY bank_id), new AS (SELECT bank_id, any_value(bloom) AS co FROM generated_questions WHERE batch_no % 2 = 0 GROUP BY bank_id)
+@query("""WITH old AS (SELECT bank_id, arg_min(co, loaded_at) AS co, arg_min(marks, loaded_at) AS marks FROM (SELECT bank_id, coalesce(co, '-') AS co, coalesce(marks, -1) AS marks, loaded_at FROM generated_questions) GROUP BY bank_id), new AS (SELECT bank_id, arg_max(coalesce(bloom, '-'), loaded_at) AS co FROM generated_questions GROUP BY bank_id HAVING min(loaded_at) < max(loaded_at))
  SELECT old.bank_id, CASE WHEN new.bank_id IS NOT NULL THEN new.co ELSE old.co END AS co, marks FROM old LEFT JOIN new USING (bank_id)""")
 def metadata_merge(spark, d):
-    g = table(spark, d, "generated_questions")
-    old = g.filter("batch_no <= 6").groupBy("bank_id").agg(F.min_by("co", "loaded_at").alias("co"), F.min_by("marks", "loaded_at").alias("marks"))
-    new = g.filter("batch_no % 2 = 0").groupBy("bank_id").agg(F.first("bloom", ignorenulls=True).alias("co"))
-    return S.merge_columns(old, new, "bank_id", ["co"])
+    """Of every question the first row as stored, and for those sent again the latest as fresh."""
+    g = table(spark, d, "generated_questions").select("bank_id", "loaded_at", F.coalesce("co", F.lit("-")).alias("co"), F.coalesce("marks", F.lit(-1.0)).alias("marks"), F.coalesce("bloom", F.lit("-")).alias("bloom"))
+    both = g.groupBy("bank_id").agg(F.min_by("co", "loaded_at").alias("co"), F.min_by("marks", "loaded_at").alias("marks"), F.max_by("bloom", "loaded_at").alias("bloom"), (F.min("loaded_at") < F.max("loaded_at")).alias("again"))
+    return S.merge_columns(both.select("bank_id", "co", "marks"), both.filter("again").select("bank_id", F.col("bloom").alias("co")), "bank_id", ["co"])
 
 
-@query("""WITH q AS (SELECT id, any_value(metadata.topic_id) AS topic, any_value(metadata.tag_method) AS method FROM pyq_questions WHERE metadata.type = 'question' GROUP BY id), m AS (SELECT id, topic, 'manual' AS origin FROM q WHERE method = 'manual' OR topic IS NOT NULL), dd AS (SELECT id, topic, 'derived' AS origin FROM q)
+@query("""WITH q AS (SELECT id, arg_max(metadata.topic_id, loaded_at) AS topic, arg_max(metadata.tag_method, loaded_at) AS method FROM pyq_questions WHERE metadata.type = 'question' GROUP BY id), m AS (SELECT id, topic, 'manual' AS origin FROM q WHERE method = 'manual' OR topic IS NOT NULL), dd AS (SELECT id, topic, 'derived' AS origin FROM q)
  FROM m UNION ALL SELECT * FROM dd WHERE id NOT IN (SELECT id FROM m)""")
 def keep_manual_records(spark, d):
     m = F.col("metadata")
-    q = table(spark, d, "pyq_questions").filter(m["type"] == "question").groupBy("id").agg(F.first(m["topic_id"], ignorenulls=True).alias("topic"), F.first(m["tag_method"], ignorenulls=True).alias("method"))
+    latest = lambda c: F.max(F.when(c.isNotNull(), F.struct("loaded_at", c.alias("v"))))["v"]  # noqa: E731  the latest that isn't null
+    q = table(spark, d, "pyq_questions").filter(m["type"] == "question").groupBy("id").agg(latest(m["topic_id"]).alias("topic"), latest(m["tag_method"]).alias("method"))
     manual = q.filter("method = 'manual' or topic is not null").select("id", "topic", F.lit("manual").alias("origin"))
     return S.keep_over(manual, q.select("id", "topic", F.lit("derived").alias("origin")), "id")
 
@@ -271,10 +273,10 @@ def verify_chunks(spark, d):
     )
 
 
-@query("""WITH n AS (SELECT doc_id, lower(regexp_replace(trim(text, ' '), '[ \\t\\r\\n]+', ' ', 'g')) AS k FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]')), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(k)) AS first FROM n) SELECT first, count(*) AS copies FROM r GROUP BY first HAVING count(*) > 1""")
+@query("""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ')) AS k FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(k)) AS first FROM n) SELECT first, count(*) AS copies FROM r GROUP BY first HAVING count(*) > 1""")
 def dedup_exact_normalized(spark, d):
-    """Exact copies up to case and blanks, with the smallest id of each class (texts in ASCII, where both engines fold case alike)."""
-    n = table(spark, d, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7f]")).select("doc_id", F.lower(F.regexp_replace(F.trim("text"), r"[ \t\r\n]+", " ")).alias("k"))
+    """Exact copies up to case and blanks among all texts, with the smallest id of each class."""
+    n = table(spark, d, "documents").filter("text is not null").select("doc_id", F.lower(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).alias("k"))
     return n.groupBy(F.sha2("k", 256).alias("h")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("first", "copies")
 
 
