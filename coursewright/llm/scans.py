@@ -49,6 +49,8 @@ RARE, RARE_SHARE, LOCAL, LOCAL_SHARE = 40, 1 / 30, 4, 1 / 300
 MOST_CONFUSED = 2
 #: Shares from which on a form is a word of its own: of its places with strange neighbours, and among these of neighbours it has in several papers.
 STRANGE, OWN = 0.5, 1 / 3
+#: Rows up to which a column of 64-bit keys is broadcast.
+NARROW = 500_000
 MARKS = "-‐\xad¬"
 
 _NUM = r"[0-9lIoOSsBbgz!|]{1,4}"
@@ -132,13 +134,6 @@ def number_style(text: str) -> tuple[str, int] | None:
     return None
 
 
-LINE = T.StructType(
-    [T.StructField("paper", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("page_no", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()),
-     T.StructField("edge", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("shape", T.StringType()), T.StructField("style", T.StringType()), T.StructField("value", T.IntegerType()), T.StructField("code", T.BooleanType()),
-     T.StructField("words", T.ArrayType(T.StringType())), T.StructField("mark", T.StringType())]
-)
-
-
 def shape_of(title: str) -> str:
     """A title with its digits masked and the words that vary from paper to paper left open."""
     parts = []
@@ -155,57 +150,52 @@ def shape_of(title: str) -> str:
     return " ".join(parts)
 
 
-def _page_lines(page_id: str, paper: str, page_num: int | None, text: str) -> Iterator[tuple]:
-    page_no = page_num
-    if page_no is None and (m := re.search(r"(\d{1,8})\D*$", page_id)):
-        page_no = int(m[1])
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``page_id, paper, page_no, text`` of each page once.
+
+    A page sent twice counts once (rows of one ``page_id`` are one page, the
+    latest counts); pages with a null id or text are left out, a null ``paper`` is a
+    paper of its own.  The page's place is its ``page_num``, where that is null the
+    number at the end of its id.
+    """
+    one = pages.filter(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max(F.struct("extracted_at", "text", "paper", "page_num")).alias("m"))
+    place = F.coalesce(F.col("m.page_num").cast("int"), F.nullif(F.regexp_extract("page_id", r"([0-9]{1,8})[^0-9]*$", 1), F.lit("")).cast("int"))
+    return one.select("page_id", F.coalesce("m.paper", F.concat(F.lit("?"), "page_id")).alias("paper"), place.alias("page_no"), "m.text").filter("text is not null")
+
+
+EDGE_LINE = T.StructType([T.StructField(n, t) for n, t in (("paper", T.StringType()), ("page_id", T.StringType()), ("page_no", T.IntegerType()), ("line_no", T.IntegerType()), ("edge", T.IntegerType()), ("title", T.StringType()), ("shape", T.StringType()), ("style", T.StringType()), ("value", T.IntegerType()))])
+
+
+def _edge_lines(text: str) -> Iterator[tuple]:
+    """``line_no, edge, title, shape, style, value`` of the lines at a page's head and foot that may be a title or number."""
     lines = text.split("\n")
     solid = [i for i, x in enumerate(lines) if x.strip()]
-    for rank, i in enumerate(solid):
-        line = lines[i]
-        edge = min(rank, len(solid) - 1 - rank)
+    for rank in sorted({*range(min(ZONE, len(solid))), *range(max(0, len(solid) - ZONE), len(solid))}):
+        whole = lines[solid[rank]].strip()
         title = shape = style = value = None
-        if edge < ZONE:
-            whole, number = line.strip(), None
+        if found := number_style(whole):
+            style, value = found
+        else:
             gap = _GAP.match(whole)
-            if found := number_style(whole):
-                style, value = found
-            else:
-                if gap and (found := number_style(gap.group(2))):
-                    whole, (style, value) = gap.group(1), found
-                if sum(c.isalnum() for c in whole) >= 8 and any(c.isdigit() for c in whole) and not _CODE.search(whole):
-                    title, shape = skeleton(whole), shape_of(whole)
-        end = line.rstrip()
-        mark = end[-1] if len(end) > 1 and end[-1] in MARKS and end[-2].isalpha() else None
-        yield paper, page_id, page_no, i + 1, line, edge, title, shape, style, value, bool(_CODE.search(line)), words_of(line), mark
-
+            if gap and (found := number_style(gap.group(2))):
+                whole, (style, value) = gap.group(1), found
+            if sum(c.isalnum() for c in whole) >= 8 and any(c.isdigit() for c in whole) and not _CODE.search(whole):
+                title, shape = skeleton(whole), shape_of(whole)
+        if title or style:
+            yield solid[rank] + 1, min(rank, len(solid) - 1 - rank), title, shape, style, value
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """The solid lines of each page with what can be told from the page alone.
 
-    A page sent twice counts once (rows of one ``page_id`` are one page, the
-    latest counts); a null id or text gives no lines, a null ``paper`` is a paper
-    of its own.  ``line_no`` counts all lines from 1, blank ones too.
-    """
-    one = pages.filter(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max(F.struct("extracted_at", "text", "paper", "page_num")).alias("m"))
-    source = one.select("page_id", F.coalesce("m.paper", F.concat(F.lit("?"), "page_id")).alias("paper"), "m.page_num", "m.text").filter("text is not null")
+def edge_lines(read: DataFrame) -> DataFrame:
+    """The lines of ``EDGE_LINE`` of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for p in batch.to_pylist():
-                rows += _page_lines(p["page_id"], p["paper"], p["page_num"], p["text"])
-                if len(rows) > 20_000:
-                    yield _line_batch(rows)
-                    rows = []
-            yield _line_batch(rows)
+            rows = [(i, *line) for i, t in enumerate(batch.column("text").to_pylist()) for line in _edge_lines(t)]
+            take = pa.array([r[0] for r in rows], pa.int32())
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(take) for n in ("paper", "page_id", "page_no")], *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]], names=EDGE_LINE.names)
 
-    return source.mapInArrow(run, LINE)
-
-
-def _line_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=LINE.names)
+    return read.select("page_id", "paper", "page_no", "text").mapInArrow(run, EDGE_LINE)
 
 
 # ---- running titles and page numbers
@@ -213,12 +203,12 @@ def _line_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def running_lines(lines: DataFrame) -> DataFrame:
     """``page_id, line_no`` of running titles: their skeleton returns on pages of the paper, or their shape is that of many papers' running titles."""
-    zone = lines.filter("title is not null").select("paper", "page_id", "page_no", "line_no", "title", "shape", "edge")
+    zone = lines.filter("title is not null")
     per_paper = zone.groupBy("paper", "title").agg(F.count_distinct("page_id").alias("pages"), F.first("shape").alias("shape"))
     returning = per_paper.filter("pages > 1")
     common = returning.groupBy("shape").agg(F.count(F.lit(1)).alias("papers")).filter("papers > 1").select("shape")
-    by_return = zone.join(returning.select("paper", "title"), ["paper", "title"], "left_semi")
-    by_shape = zone.filter("edge < 2").join(common, "shape", "left_semi")
+    by_return = zone.join(apart(returning.select("paper", "title")), ["paper", "title"], "left_semi")
+    by_shape = zone.filter("edge < 2").join(sized(common), "shape", "left_semi")
     return by_return.select("page_id", "line_no").union(by_shape.select("page_id", "line_no")).distinct()
 
 
@@ -230,11 +220,11 @@ def number_lines(lines: DataFrame) -> DataFrame:
     place is the one most pages of the paper have in that style, on two pages or
     more, or it is none.
     """
-    found = lines.filter("style is not null").select("paper", "page_id", "page_no", "line_no", "style", "value", "edge")
+    found = lines.filter("style is not null")
     plain = found.filter("style in ('bare', 'roman', 'slash')").withColumn("off", F.col("value") - F.col("page_no"))
     counts = plain.groupBy("paper", "style", "off").agg(F.count_distinct("page_id").alias("n"))
     best = counts.groupBy("paper", "style").agg(F.max(F.struct("n", -F.abs("off"), "off")).alias("m")).select("paper", "style", F.col("m.off").alias("off"), F.col("m.n").alias("n"))
-    alone = plain.join(best, ["paper", "style", "off"]).filter("n > 1 or off = 0 or (value between 1 and 12 and edge = 0)")
+    alone = plain.join(apart(best), ["paper", "style", "off"]).filter("n > 1 or off = 0 or (value between 1 and 12 and edge = 0)")
     told = found.filter("style not in ('bare', 'roman', 'slash')")
     return told.select("page_id", "line_no").union(alone.select("page_id", "line_no")).distinct()
 
@@ -242,27 +232,6 @@ def number_lines(lines: DataFrame) -> DataFrame:
 # ---- words
 
 
-def body_words(body: DataFrame) -> DataFrame:
-    """``paper, page_id, line_no, word, form, skel, code`` of the words that could be misread, cut words joined.
-
-    Of a word cut at a line's end both lines get the joined word, with the half
-    (1 or 2) that stands in the line and the length of the first half.
-    """
-    within = Window.partitionBy("page_id").orderBy("line_no")
-    per_page = body.filter(F.size("words") > 0).withColumn("next", F.lead(F.get("words", F.lit(0))).over(within)).withColumn("prev_mark", F.lag("mark").over(within)).withColumn("prev_last", F.lag(F.element_at("words", -1)).over(within)).withColumn("prev_at", F.lag(F.struct("page_id", "line_no")).over(within)).withColumn("at", F.row_number().over(within)).withColumn("last", F.lead("line_no").over(within).isNull())
-    ends = per_page.groupBy("paper", "page_id", "page_no").agg(
-        F.min_by(F.get("words", F.lit(0)), "line_no").alias("first_word"), F.max_by(F.element_at("words", -1), "line_no").alias("end_word"), F.max(F.struct("line_no", "mark"))["mark"].alias("end_mark"), F.max("line_no").alias("end_line")
-    )
-    pages = Window.partitionBy("paper").orderBy("page_no", "page_id")  # one small row per page
-    ends = ends.withColumn("page_next", F.lead("first_word").over(pages)).withColumn("page_prev", F.lag("end_word").over(pages)).withColumn("page_mark", F.lag("end_mark").over(pages)).withColumn("page_at", F.lag(F.struct("page_id", F.col("end_line").alias("line_no"))).over(pages)).select("page_id", "page_next", "page_prev", "page_mark", "page_at")
-    full = per_page.join(ends, "page_id").withColumn("next", F.when(F.col("last"), F.col("page_next")).otherwise(F.col("next")))
-    full = full.withColumn("prev_mark", F.when(F.col("at") == 1, F.col("page_mark")).otherwise(F.col("prev_mark"))).withColumn("prev_last", F.when(F.col("at") == 1, F.col("page_prev")).otherwise(F.col("prev_last")))
-    full = full.withColumn("prev_at", F.when(F.col("at") == 1, F.col("page_at")).otherwise(F.col("prev_at")))
-    return full.select("paper", "page_id", "line_no", "words", "mark", "next", "prev_mark", "prev_last", "prev_at", "code")
-
-
-WORD = T.StructType([T.StructField("paper", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("skel", T.StringType()), T.StructField("half", T.IntegerType()), T.StructField("split", T.IntegerType()), T.StructField("odd", T.BooleanType()), T.StructField("left", T.StringType()), T.StructField("next", T.StringType())])
-
 _NUMBER_MISREAD = re.compile(r"^(?=.*[0-9])[0-9lSsBOo!|I]+$")
 _LONE = frozenset("lSBOo")
 _ODD = re.compile(r"[A-Za-z][!|][A-Za-z]|^[!|][a-z]{2}|[A-Za-z][0-9!]+[a-z]{2}|[a-z][0-9][a-z]|^[0569][a-z]{2,}|[a-z]{2}[!|]$")
@@ -287,39 +256,125 @@ def _pieces(word: str, whole: bool, code: bool) -> tuple[tuple[str, str, bool],
     return tuple((form_of(p), skeleton(form_of(p)), odd_by_itself(p, code)) for p in ([word] if whole else re.split(r"[-‐]", word)) if p and not p.isdigit())
 
 
-def word_rows(flanked: DataFrame) -> DataFrame:
-    """A row per word that may be misread: ``form, skel``, for cut words both halves' lines, whether its own glyphs give it away, and its neighbours."""
+def _mark(line: str) -> str | None:
+    """The hyphen at a line's end, if it follows a letter."""
+    end = line.rstrip()
+    return end[-1] if len(end) > 1 and end[-1] in MARKS and end[-2].isalpha() else None
+
+
+def _body(text: str, frame: list[int] | None) -> list[tuple[int, str]]:
+    """``line_no, line`` of a page's solid lines that are no titles or numbers."""
+    out = set(frame or ())
+    return [(i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip() and i not in out]
+
+
+def page_ends(framed: DataFrame) -> DataFrame:
+    """Per page with words what its neighbours end and start with: ``page_id, page_next, page_prev, page_mark, page_at``.
+
+    Pages are ordered within their paper with one small row per page.
+    """
+    schema = "paper string, page_id string, page_no int, first_word string, end_word string, end_mark string, end_line int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (text, frame) in enumerate(zip(batch.column("text").to_pylist(), batch.column("frame").to_pylist(), strict=True)):
+                body = _body(text, frame)
+                first = next((w for _, x in body if (w := words_of(x))), None)
+                if first:
+                    no, line, last = next((n, x, w) for n, x in reversed(body) if (w := words_of(x)))
+                    rows.append((i, first[0], last[-1], _mark(line), no))
+            take = pa.array([r[0] for r in rows], pa.int32())
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(take) for n in ("paper", "page_id", "page_no")], *[pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds)]], names=["paper", "page_id", "page_no", "first_word", "end_word", "end_mark", "end_line"])
+
+    ends = framed.select("page_id", "paper", "page_no", "text", "frame").mapInArrow(run, schema)
+    pages = Window.partitionBy("paper").orderBy("page_no", "page_id")
+    at = F.struct("page_id", F.col("end_line").alias("line_no"))
+    return ends.select("page_id", F.lead("first_word").over(pages).alias("page_next"), F.lag("end_word").over(pages).alias("page_prev"), F.lag("end_mark").over(pages).alias("page_mark"), F.lag(at).over(pages).alias("page_at"))
+
+
+BODY = T.StructType(
+    [T.StructField("paper", T.StringType()), T.StructField("page_id", T.StringType()), T.StructField("page_no", T.IntegerType()), T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("code", T.BooleanType()),
+     T.StructField("forms", T.ArrayType(T.StringType())), T.StructField("odd", T.BooleanType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),
+     T.StructField("tail", T.StringType()), T.StructField("tail_split", T.IntegerType()), T.StructField("head", T.StringType()), T.StructField("head_split", T.IntegerType()),
+     T.StructField("cut_joined", T.StringType()), T.StructField("cut_compound", T.StringType()), T.StructField("compounds", T.ArrayType(T.StringType())), T.StructField("prev_page", T.StringType()), T.StructField("prev_line", T.IntegerType())]
+)
+
+
+def _line_words(words: list[str], mark: str | None, after: str | None, prev_mark: str | None, prev_last: str | None, code: bool) -> tuple:
+    """The columns ``forms`` to ``compounds`` of a line with words.
+
+    ``forms`` has the words that stand whole in the line, ``tail`` and ``head`` the
+    joined word of which the line holds the first or second half, with the length of
+    the first half.
+    """
+    forms, odd = [], False
+    tail = tail_split = head = head_split = joined = compound = None
+    n = len(words)
+    for i, w in enumerate(words):
+        if mark and i == n - 1 and after:
+            bare = w.strip(MARKS)
+            if found := _pieces(bare + after, True, code):
+                tail, tail_split = found[0][0], len(bare)
+            a = w.rstrip(MARKS)
+            if a[-1:].isascii() and a[-1:].isalpha() and re.match(r"[A-Za-z0-9(!_]", after):
+                joined, compound = skeleton(a + after), f"{skeleton(a)}-{skeleton(after)}"
+        elif prev_mark and i == 0 and prev_last:
+            bare = prev_last.strip(MARKS)
+            if found := _pieces(bare + w, True, code):
+                head, head_split = found[0][0], len(bare)
+        else:
+            for f, _, strange in _pieces(w, False, code):
+                forms.append(f)
+                odd = odd or strange
+    compounds = [f"{skeleton(p[0])}-{skeleton(p[1])}" for w in words if len(p := re.split(r"[-‐]", w)) == 2 and re.search(r"[A-Za-z]{2}[-‐][A-Za-z]{2}", w)]
+    return forms, odd, form_of(prev_last) if prev_last else None, form_of(after) if after else None, tail, tail_split, head, head_split, joined, compound, compounds
+
+
+def body_lines(framed: DataFrame) -> DataFrame:
+    """The solid lines of the papers' own text with their words, cut words joined, as ``BODY``. ``framed``: pages with ``frame`` and their neighbours' ends."""
+    kinds = [pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.bool_(), *[pa.string()] * 3, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32()]
+
+    def batch_of(batch: pa.RecordBatch, take: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(take, pa.int32())
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in ("paper", "page_id", "page_no")], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=BODY.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = ([], False, *[None] * 8, [])
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("words", "mark", "next", "prev_mark", "prev_last", "code")]
-            row, form, skel, halves, splits, odds, left, following = [], [], [], [], [], [], [], []
-            for at, (words, mark, after, prev_mark, prev_last, code) in enumerate(zip(*columns, strict=True)):
-                n = len(words or ())
-                for i in range(n):
-                    w, half, cut_at = words[i], 0, 0
-                    if mark and i == n - 1 and after:
-                        bare = w.strip(MARKS)
-                        half, cut_at, w = 1, len(bare), bare + after
-                    elif prev_mark and i == 0 and prev_last:
-                        bare = prev_last.strip(MARKS)
-                        half, cut_at, w = 2, len(bare), bare + w
-                    a = words[i - 1] if i else None if half == 2 else prev_last
-                    b = words[i + 1] if i + 1 < n else None if half == 1 else after
-                    for f, sk, odd in _pieces(w, bool(half), code):
-                        row.append(at)
-                        form.append(f)
-                        skel.append(sk)
-                        halves.append(half)
-                        splits.append(cut_at)
-                        odds.append(odd)
-                        left.append(form_of(a) if a else None)
-                        following.append(form_of(b) if b else None)
-            whole = [batch.column(n).take(pa.array(row, pa.int32())) for n in ("paper", "page_id", "line_no")]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*whole, *[pa.array(x, k) for x, k in zip((form, skel, halves, splits, odds, left, following), kinds, strict=True)]], names=WORD.names)
-
-    return flanked.select("paper", "page_id", "line_no", "words", "mark", "next", "prev_mark", "prev_last", "code").mapInArrow(run, WORD)
+            take, rows = [], []
+            fields = [batch.column(n).to_pylist() for n in ("page_id", "text", "frame", "page_next", "page_prev", "page_mark", "page_at")]
+            for at, (page_id, text, frame, page_next, last, mark, place) in enumerate(zip(*fields, strict=True)):
+                lines = [(no, x, words_of(x)) for no, x in _body(text, frame)]
+                firsts = [w[0] for _, _, w in lines if w][1:] + [page_next]  # the word that follows each line with words
+                prev = (place["page_id"], place["line_no"]) if place else (None, None)
+                k = 0
+                for no, x, words in lines:
+                    take.append(at)
+                    code = bool(_CODE.search(x))
+                    if not words:
+                        rows.append((no, x, code, *none, None, None))
+                        continue
+                    own = _mark(x)
+                    rows.append((no, x, code, *_line_words(words, own, firsts[k], mark, last, code), *prev))
+                    mark, last, prev = own, words[-1], (page_id, no)
+                    k += 1
+                if len(rows) > 20_000:
+                    yield batch_of(batch, take, rows)
+                    take, rows = [], []
+            yield batch_of(batch, take, rows)
+
+    return framed.select("page_id", "paper", "page_no", "text", "frame", "page_next", "page_prev", "page_mark", "page_at").mapInArrow(run, BODY)
+
+
+def line_words(body: DataFrame) -> DataFrame:
+    """``paper, page_id, line_no, form, half, split, left, next``: the words that may be misread, cut ones once for each half's line."""
+    n = F.size("forms")
+    whole = F.transform("forms", lambda f, i: F.struct(f.alias("form"), F.lit(0).alias("half"), F.lit(0).alias("split"), F.when(i > 0, F.get("forms", i - 1)).otherwise(F.col("before")).alias("left"), F.when(i < n - 1, F.get("forms", i + 1)).otherwise(F.col("after")).alias("next")))
+    part = lambda name, half: F.array(F.struct(F.col(name).alias("form"), F.lit(half).alias("half"), F.col(f"{name}_split").alias("split"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("next")))
+    return body.select("paper", "page_id", "line_no", F.inline(F.concat(whole, part("tail", 1), part("head", 2)))).filter("form is not null")
 
 
 def _core(form: str) -> str:
@@ -383,8 +438,20 @@ def _confusable(forms: DataFrame) -> DataFrame:
 
 
 def paper_forms(words: DataFrame) -> DataFrame:
-    """``paper, skel, form, n, alone, joined``: how often a paper writes a form, how often of it uncut, and whether it does so at cuts."""
-    return words.groupBy("paper", "skel", "form").agg(F.sum((F.col("half") < 2).cast("int")).alias("n"), F.sum((F.col("half") == 0).cast("int")).alias("alone"), F.max((F.col("half") > 0).cast("int")).alias("joined"))
+    """``paper, form, n, alone, joined``: how often a paper writes a form, how often of it uncut, and whether it does so at cuts."""
+    return words.groupBy("paper", "form").agg(F.sum((F.col("half") < 2).cast("int")).alias("n"), F.sum((F.col("half") == 0).cast("int")).alias("alone"), F.max((F.col("half") > 0).cast("int")).alias("joined"))
+
+
+def all_forms(by_paper: DataFrame) -> DataFrame:
+    """``form, papers, most, joined, skel``: each form with the papers that write it."""
+    forms = by_paper.groupBy("form").agg(F.count(F.lit(1)).alias("papers"), F.max("n").alias("most"), F.min("joined").alias("joined"))
+    schema = T.StructType([*forms.schema.fields, T.StructField("skel", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([skeleton(f) for f in batch.column(0).to_pylist()], pa.string())], names=schema.names)
+
+    return forms.mapInArrow(run, schema)
 
 
 def in_context(words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -394,21 +461,22 @@ def in_context(words: DataFrame, pairs: DataFrame) -> DataFrame:
     does where the form is a misreading; ``own``: it stands beside the form in
     another paper, as it does where the form is a word of its own.
     """
-    names = pairs.select("form").union(pairs.select("right")).distinct()
-    places = cut(words.filter("half = 0").join(sized(names), "form").select("form", "paper", "page_id", "line_no", "left", "next"))
-    sides = F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("next").alias("side"), F.col("next").alias("word")))
-    beside = places.select("form", "paper", F.inline(sides)).filter("word is not null").groupBy("form", "side", "word").agg(F.count_distinct("paper").alias("papers"))
-    beside = cut(beside)
-    out = places.join(sized(pairs), "form")
-    for side in ("left", "next"):
-        of_right = beside.filter(F.col("side") == side).select(F.col("form").alias("right"), F.col("word").alias(side), F.lit(True).alias(f"seen_{side}"))
-        of_form = beside.filter((F.col("side") == side) & (F.col("papers") > 1)).select("form", F.col("word").alias(side), F.lit(True).alias(f"own_{side}"))
-        out = out.join(apart(of_right), ["right", side], "left").join(apart(of_form), ["form", side], "left")
-    either = lambda what: F.coalesce(f"{what}_left", F.lit(False)) | F.coalesce(f"{what}_next", F.lit(False))
-    return out.select("form", "right", "paper", "page_id", "line_no", either("seen").alias("seen"), either("own").alias("own"))
-
-
-def misread_forms(words: DataFrame, by_paper: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    columns = ["form", "right", "paper", "page_id", "line_no"]
+    whole = words.filter("half = 0")
+    beside = lambda word, side: F.when(F.col(side).isNotNull(), F.xxhash64(word, F.lit(side), side))
+    asked = [F.struct(F.lit(what).alias("what"), beside(word, side).alias("key")) for what, word in (("seen", "right"), ("own", "form")) for side in ("left", "next")]
+    places = cut(whole.join(sized(pairs), "form").select(*columns, F.posexplode(F.array(*asked)).alias("i", "a")).select(*columns, "a.what", "a.key"))
+    # only the neighbourhoods that are asked for are counted, not those of all frequent words
+    keys = places.select("key").filter("key is not null").distinct()
+    found = whole.select("paper", F.explode(F.array(beside("form", "left"), beside("form", "next"))).alias("key")).join(sized(keys, NARROW), "key")
+    mark = F.xxhash64("paper")
+    known = found.groupBy("key").agg((F.min(mark) != F.max(mark)).alias("several"))
+    told = places.join(apart(cut(known)), "key", "left")
+    yes = lambda what, c: F.max((F.col("what") == what) & F.coalesce(c, F.lit(False))).alias(what)
+    return told.groupBy(*columns).agg(yes("seen", F.col("several").isNotNull()), yes("own", F.col("several")))
+
+
+def misread_forms(words: DataFrame, by_paper: DataFrame | None = None, forms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``form, right`` that are misread wherever they stand, ``paper, form, right`` that are so in one paper, and ``page_id, line_no, form, right`` that are so at that place.
 
     A form of letters alone that several papers write may be a word of its own
@@ -420,8 +488,7 @@ def misread_forms(words: DataFrame, by_paper: DataFrame | None = None) -> tuple[
     by_paper = cut(paper_forms(words)) if by_paper is None else by_paper
     n_papers = by_paper.agg(F.count_distinct("paper")).first()[0]
     rare_at, local_at = max(RARE, n_papers * RARE_SHARE), max(LOCAL, n_papers * LOCAL_SHARE)
-    # a name that its paper writes twice and no other way isn't doubted for its letters
-    forms = cut(by_paper.groupBy("skel", "form").agg(F.count(F.lit(1)).alias("papers"), F.max("n").alias("most"), F.min("joined").alias("joined")))
+    forms = cut(all_forms(by_paper)) if forms is None else forms
     leading = forms.groupBy("skel").agg(F.max(F.struct("papers", "form")).alias("m")).select("skel", F.col("m.form").alias("right"), F.col("m.papers").alias("right_papers"))
     by_form = forms.join(apart(leading), "skel").filter(F.col("form") != F.col("right"))
     # a form whose own glyphs give it away is no word, however few papers write the right one
@@ -439,6 +506,7 @@ def misread_forms(words: DataFrame, by_paper: DataFrame | None = None) -> tuple[
     grams = types.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, 3))).alias("g"), "papers").groupBy("g").agg(F.sum("papers").alias("n"))
     table = {r.g: r.n for r in grams.collect()}  # at most 28 ** 3 rows
     settled = by_form.select("form").union(own.select("form"))
+    # a name that its paper writes twice and no other way isn't doubted for its letters
     rare = forms.filter((F.col("papers") < rare_at) & ((F.col("most") < 2) | ~F.col("form").rlike("[0-9]$"))).join(apart(settled), "form", "left_anti").select("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,46 +517,43 @@ def misread_forms(words: DataFrame, by_paper: DataFrame | None = None) -> tuple[
     by_grams = rare.mapInArrow(run, "form string, right string")
     everywhere = cut(by_form.unionByName(by_grams))
     # in one paper: the form that is written more often there, both being rare elsewhere
-    few = forms.filter((F.col("papers") < local_at) & F.col("form").rlike("[a-z_]{3}")).select("form").join(sized(everywhere.select("form")), "form", "left_anti")
-    local = by_paper.join(apart(few), "form", "left_semi")
+    few = forms.filter((F.col("papers") < local_at) & F.col("form").rlike("[a-z_]{3}")).select("form", "skel").join(sized(everywhere.select("form")), "form", "left_anti")
+    few = cut(few.join(apart(few.groupBy("skel").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("skel")), "skel"))  # others have no rival
+    local = cut(by_paper.select("paper", "form", "n").join(sized(few.select("form", "skel")), "form"))
     top = local.groupBy("paper", "skel").agg(F.max(F.struct("n", "form")).alias("m")).select("paper", "skel", F.col("m.form").alias("right"), F.col("m.n").alias("right_n"))
     in_paper = local.join(apart(top), ["paper", "skel"]).filter((F.col("form") != F.col("right")) & (F.col("right_n") > F.col("n"))).select("paper", "form", "right")
     return everywhere, cut(_confusable(in_paper)), placed
 
 
-def cut_words(flanked: DataFrame, by_paper: DataFrame) -> DataFrame:
+def cut_words(body: DataFrame, by_paper: DataFrame, forms: DataFrame) -> DataFrame:
     """``page_id, line_no`` of the lines that end in the first part of a cut word.
 
     The joined word against the compound: what more papers write decides; with
     neither written elsewhere the word counts as cut.
     """
-    ends = flanked.filter("mark is not null and next is not null").select("page_id", "line_no", "paper", F.regexp_replace(F.element_at("words", -1), f"[{MARKS}]+$", "").alias("a"), F.col("next").alias("b"))
-    ends = ends.filter(F.col("a").rlike(r"[A-Za-z]$") & F.col("b").rlike(r"^[A-Za-z0-9(!_]"))
-    fold = F.udf(skeleton, "string", useArrow=True)
-    both = cut(ends.withColumn("joined", fold(F.concat("a", "b"))).withColumn("compound", F.concat(fold("a"), F.lit("-"), fold("b"))))
-    hyphened = F.filter("words", lambda w: w.rlike(r"^[^-‐]*[A-Za-z]{2}[-‐][A-Za-z]{2}[^-‐]*$"))
-    compounds = flanked.select("paper", F.explode(hyphened).alias("w")).select("paper", F.split("w", "[-‐]").alias("p"))
-    compounds = compounds.select("paper", F.concat(fold(F.col("p")[0]), F.lit("-"), fold(F.col("p")[1])).alias("compound")).groupBy("compound").agg(F.count_distinct("paper").alias("as_compound"))
-    asked = both.select(F.col("joined").alias("skel")).distinct()
-    whole = by_paper.filter("alone > 0").select("skel", "paper").join(sized(asked), "skel", "left_semi").groupBy(F.col("skel").alias("joined")).agg(F.count_distinct("paper").alias("as_word"))
-    rated = both.join(apart(compounds), "compound", "left").join(apart(whole), "joined", "left")
+    ends = body.filter("cut_joined is not null").select("page_id", "line_no", F.col("cut_joined").alias("joined"), F.col("cut_compound").alias("compound"))
+    compounds = body.filter("size(compounds) > 0").select("paper", F.explode("compounds").alias("compound")).groupBy("compound").agg(F.count_distinct("paper").alias("as_compound"))
+    asked = forms.join(sized(ends.select(F.col("joined").alias("skel")).distinct()), "skel", "left_semi").select("form", F.col("skel").alias("joined"))
+    whole = by_paper.filter("alone > 0").select("form", "paper").join(sized(cut(asked)), "form").groupBy("joined").agg(F.count_distinct("paper").alias("as_word"))
+    rated = ends.join(apart(compounds), "compound", "left").join(apart(whole), "joined", "left")
     return rated.filter(F.coalesce("as_word", F.lit(0)) >= F.coalesce("as_compound", F.lit(0))).select("page_id", "line_no")
 
 
 def _analyse(pages: DataFrame) -> dict[str, DataFrame]:
-    lines = cut(page_lines(pages))
-    running, numbers = running_lines(lines), number_lines(lines)
-    frame = cut(running.withColumn("kind", F.lit("running")).unionByName(numbers.withColumn("kind", F.lit("pageno"))))
-    body = lines.join(sized(frame.select("page_id", "line_no").distinct()), ["page_id", "line_no"], "left_anti")
-    flanked = cut(body_words(body))
-    words = cut(word_rows(flanked))
+    read = cut(read_pages(pages))
+    edges = cut(edge_lines(read))
+    frame = cut(running_lines(edges).withColumn("kind", F.lit("running")).unionByName(number_lines(edges).withColumn("kind", F.lit("pageno"))))
+    per_page = frame.groupBy("page_id").agg(F.collect_set("line_no").alias("frame"))  # a few lines at a page's edges
+    framed = cut(read.join(apart(per_page), "page_id", "left"))
+    body = cut(body_lines(framed.join(apart(page_ends(framed)), "page_id", "left")))
+    words = line_words(body)
     by_paper = cut(paper_forms(words))
-    cuts = cut_words(flanked, by_paper)
-    everywhere, in_paper, placed = misread_forms(words, by_paper)
+    forms = cut(all_forms(by_paper))
+    everywhere, in_paper, placed = misread_forms(words, by_paper, forms)
     columns = ["page_id", "line_no", "form", "right", "half", "split"]
     hit = words.join(sized(everywhere), "form").select(*columns).unionByName(words.join(sized(in_paper), ["paper", "form"]).select(*columns))
     hit = hit.unionByName(placed.withColumn("half", F.lit(0)).withColumn("split", F.lit(0)).select(*columns))
-    return {"lines": lines, "frame": frame, "body": body, "flanked": flanked, "words": words, "cuts": cuts, "hits": hit}
+    return {"frame": frame, "body": body, "cuts": cut_words(body, by_paper, forms), "hits": hit}
 
 
 def line_kinds(pages: DataFrame) -> DataFrame:
@@ -497,7 +562,7 @@ def line_kinds(pages: DataFrame) -> DataFrame:
     # of a cut word the line that holds the differing glyph is the misread one
     differs = F.aggregate(F.sequence(F.lit(1), F.length("form")), F.lit(0), lambda acc, i: F.when((acc == 0) & (F.substring("form", i, F.lit(1)) != F.substring("right", i, F.lit(1))), i).otherwise(acc))
     hit = found["hits"].filter((F.col("half") == 0) | ((differs <= F.col("split")) == (F.col("half") == 1)))
-    odd = found["words"].filter("odd and half = 0").select("page_id", "line_no")
+    odd = found["body"].filter("odd").select("page_id", "line_no")
     misread = hit.select("page_id", "line_no").union(odd).distinct()
     return found["frame"].unionByName(found["cuts"].withColumn("kind", F.lit("hyphen"))).unionByName(misread.withColumn("kind", F.lit("misread"))).select("page_id", "line_no", "kind")
 
@@ -528,13 +593,13 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     pages, so a paper of very many pages is no single large task.
     """
     found = _analyse(pages)
-    found["cuts"] = cut(found["cuts"])
+    found |= {"cuts": cut(found["cuts"]), "hits": cut(found["hits"])}
     fixes = found["hits"].filter("half = 0").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right")).alias("fixes"))
     # both lines of a cut word are written right, if it is joined
-    joined = found["cuts"].join(found["flanked"].select(F.col("prev_at.page_id").alias("page_id"), F.col("prev_at.line_no").alias("line_no"), F.col("page_id").alias("to_page"), F.col("line_no").alias("to_line")), ["page_id", "line_no"])
+    joined = found["cuts"].join(apart(found["body"].filter("prev_page is not null").select(F.col("prev_page").alias("page_id"), F.col("prev_line").alias("line_no"), F.col("page_id").alias("to_page"), F.col("line_no").alias("to_line"))), ["page_id", "line_no"])
     lines = joined.select("page_id", "line_no", F.lit(1).alias("half")).unionByName(joined.select(F.col("to_page").alias("page_id"), F.col("to_line").alias("line_no"), F.lit(2).alias("half")))
-    halves = found["hits"].join(lines, ["page_id", "line_no", "half"], "left_semi").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right", "half", "split")).alias("halves"))
-    body = found["body"].select("paper", "page_id", "page_no", "line_no", "text", "code").join(fixes, ["page_id", "line_no"], "left").join(halves, ["page_id", "line_no"], "left").join(found["cuts"].withColumn("cut", F.lit(True)), ["page_id", "line_no"], "left")
+    halves = found["hits"].join(apart(lines), ["page_id", "line_no", "half"], "left_semi").groupBy("page_id", "line_no").agg(F.collect_set(F.struct("form", "right", "half", "split")).alias("halves"))
+    body = found["body"].select("paper", "page_id", "page_no", "line_no", "text", "code").join(apart(fixes), ["page_id", "line_no"], "left").join(apart(halves), ["page_id", "line_no"], "left").join(apart(found["cuts"].withColumn("cut", F.lit(True))), ["page_id", "line_no"], "left")
     schema = T.StructType([body.schema[c] for c in ("paper", "page_id", "page_no", "line_no", "code", "cut")] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -557,7 +622,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     last = marked.groupBy("paper", "page_id", "page_no").agg(F.max(F.when(F.col("start"), F.col("line_no"))).alias("last_start"))
     over_pages = Window.partitionBy("paper").orderBy("page_no", "page_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per page
     carried = last.withColumn("carry", F.last(F.when(F.col("last_start").isNotNull(), F.struct("page_id", "page_no", "last_start")), ignorenulls=True).over(over_pages)).select("page_id", "carry")
-    placed = marked.join(carried, "page_id").select(
+    placed = marked.join(apart(carried), "page_id").select(
         "paper", "page_no", "page_id", "line_no", "text", "code", "cut",
         F.when(F.col("own").isNotNull(), F.struct("page_no", "page_id", F.col("own").alias("line_no")))
         .when(F.col("carry").isNotNull(), F.struct(F.col("carry.page_no").alias("page_no"), F.col("carry.page_id").alias("page_id"), F.col("carry.last_start").alias("line_no")))
