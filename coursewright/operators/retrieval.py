@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from coursewright.functions.vectors import squared_l2
 
-#: Rows per query and block stay bounded by the limit that is asked for.
-BLOCKS = 8
+#: Least number of blocks, and rows a block may have: with more rows there are more blocks, so that none grows with the data.
+BLOCKS, BLOCK_ROWS = 8, 50_000
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, keys: list[str], row_id: str, blocks: int = BLOCKS) -> DataFrame:
+def in_blocks(queries: DataFrame, rows: DataFrame, keys: list[str], row_id: str, blocks: int | None = None) -> DataFrame:
     """Queries joined with rows on ``keys``, each key cut into blocks; without keys every query meets every block."""
+    blocks = blocks or max(BLOCKS, -(-rows.count() // BLOCK_ROWS))
     numbered = rows.withColumn("_block", F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int"))
     return queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(numbered, [*keys, "_block"])
 
@@ -37,9 +38,18 @@ def with_distance(pairs: DataFrame, a: str, b: str, out: str = "dist") -> DataFr
 
 
 def nearest_distinct(pairs: DataFrame, query_id: str, text: str, n: int, order: list) -> DataFrame:
-    """The ``n`` nearest with different texts: of each text the nearest row."""
-    one = pairs.withColumn("_t", F.row_number().over(Window.partitionBy(query_id, text).orderBy(*order))).filter("_t = 1").drop("_t")
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).filter(F.col("rank") <= n).drop("_block")
+    """The ``n`` nearest with different texts: of each text the nearest row.
+
+    Where ``pairs`` has blocks, each keeps the nearest rows of its ``n`` nearest texts
+    first; a text's nearest row is among them in its own block.
+    """
+    def best(rows: DataFrame, *keys: str) -> DataFrame:
+        one = rows.withColumn("_t", F.row_number().over(Window.partitionBy(*keys, text).orderBy(*order))).filter("_t = 1").drop("_t")
+        return one.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
+
+    if "_block" in pairs.columns:
+        pairs = best(pairs, query_id, "_block").drop("_block", "rank")
+    return best(pairs, query_id)
 
 
 def in_tiers(tiers: list[DataFrame], query_id: str, row_id: str, n: int, pool: int, order: list, prefer=None) -> DataFrame:
