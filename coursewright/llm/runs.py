@@ -25,6 +25,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Parts of the key space, and rows of a row group: what is read for one key.
 PARTS, GROUP_ROWS = 16, 512
@@ -115,6 +116,7 @@ class SortedRuns:
     def lookup(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows of table ``name`` whose key is in ``keys``."""
         runs, read, schema, columns = self.runs(), self.rows_read, self.schemas[name], self.schemas[name].names
+        arrow = to_arrow_schema(schema)  # runs may differ in what they declare never to be null
         probes = keys.select("key").distinct().withColumn("part", self._part()).repartition(self.parts, "part").sortWithinPartitions("part", "key")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +132,6 @@ class SortedRuns:
                             read.add(rows.num_rows)
                             hit = rows.filter(pa.array(np.isin(rows.column("key").to_numpy(), wanted)))
                             if hit.num_rows:
-                                yield from hit.select(columns).combine_chunks().to_batches()
+                                yield from hit.select(columns).cast(arrow).combine_chunks().to_batches()
 
         return probes.mapInArrow(run, schema)

@@ -249,3 +249,18 @@ def test_periodic_text_has_few_windows():
         m = noise[i : i + 20].min()
         assert any(a <= i and i + 19 <= b and noise[c] == m for a, c, b in windows)
     assert len(windows) < 2 * len(noise) / 20 * 3
+
+
+def test_lookups_over_merged_and_single_runs(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from coursewright.llm.runs import SortedRuns
+
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("o", T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())]))])
+    runs = SortedRuns(spark, str(tmp_path / "runs"), {"t": schema}, parts=1, group_rows=3)
+    for n in range(6):
+        df = spark.range(n * 10, n * 10 + 10).select(F.col("id").alias("key"), F.struct(F.lit(n).alias("a"), F.lit("x").alias("b")).alias("o"))
+        runs.append({"t": df if n % 2 else df.withColumn("key", F.when(F.col("key") >= 0, F.col("key")))})
+    assert len(runs.runs()) == 3  # four merged, two single
+    keys = spark.createDataFrame([(k,) for k in (0, 5, 17, 33, 41, 59, 60, -1, 5)], "key long")
+    assert rows(runs.lookup("t", keys), "key", "o.a") == [(0, 0), (17, 1), (33, 3), (41, 4), (5, 0), (59, 5)]
