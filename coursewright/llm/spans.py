@@ -188,9 +188,8 @@ def _digest_batch(recs: pa.Array, take: list[int], start: list[int], digests: li
 
 
 def _shared_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur in two records or more; each partition adds up its own before the shuffle."""
-    mark = F.xxhash64("rec")  # a number, so that the sums stay in the hash aggregate's fixed-width buffers
-    return rows.groupBy(*keys).agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a <> b").select(*keys)
+    """The keys that occur in two records (numbers) or more; each partition adds up its own before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min("rec").alias("a"), F.max("rec").alias("b")).filter("a <> b").select(*keys)
 
 
 def shared_runs(records: DataFrame, least: int = 100, gram: int = 50, hashes: int = 2) -> DataFrame:
@@ -207,11 +206,13 @@ def shared_runs(records: DataFrame, least: int = 100, gram: int = 50, hashes: in
     # records of exactly equal text are one class: only its smallest record goes on, the others copy its result
     classes = long.withColumn("same", F.sha2("text", 256))
     heads = classes.groupBy("same").agg(F.min(F.struct("rec", "text")).alias("m"), F.count(F.lit(1)).alias("copies"))
-    heads = cut(heads.select("m.rec", "m.text", "copies", "same"))
-    windows = cut(window_table(heads, least, gram, hashes))
+    # the written table gives each head a number for good, so that rows of tokens and spans carry no keys
+    heads = cut(heads.select(F.monotonically_increasing_id().alias("num"), "m.rec", "m.text", "copies", "same"))
+    texts = heads.select(F.col("num").alias("rec"), "text")
+    windows = cut(window_table(texts, least, gram, hashes))
     kept = windows.join(apart(_shared_keys(windows, ["fn", "token"])), ["fn", "token"], "left_semi")
     grouped = kept.groupBy("rec").agg(F.collect_list(F.struct("fn", "lo", "hi")).alias("windows"))  # a record's own windows: as many as its length allows
-    digests = cut(candidate_digests(heads.select("rec", "text").join(apart(grouped), "rec"), least, hashes))
+    digests = cut(candidate_digests(texts.join(apart(grouped), "rec"), least, hashes))
     hits = digests.join(apart(_shared_keys(digests, ["d1", "d2"])), ["d1", "d2"], "left_semi").select("rec", "start")
     by_place = Window.partitionBy("rec").orderBy("start")
     marked = hits.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(by_place), F.lit(-least - 1)) + least).cast("int"))
@@ -219,11 +220,11 @@ def shared_runs(records: DataFrame, least: int = 100, gram: int = 50, hashes: in
         marked.withColumn("run", F.sum("new").over(by_place))
         .groupBy("rec", "run")
         .agg((F.min("start") + 1).alias("start_pos"), (F.max("start") - F.min("start") + least).alias("n_chars"))
-        .select("rec", "start_pos", "n_chars")
+        .select(F.col("rec").alias("num"), "start_pos", "n_chars")
     )
-    alone = heads.filter("copies = 1").select("rec")
+    alone = heads.filter("copies = 1").select("num", "rec")
     copied = classes.select("rec", "same", F.length("text").alias("n")).join(apart(heads.filter("copies > 1").select("same")), "same", "left_semi")
-    return runs.join(apart(alone), "rec", "left_semi").unionByName(copied.select("rec", F.lit(1).alias("start_pos"), F.col("n").alias("n_chars")))
+    return runs.join(apart(alone), "num").select("rec", "start_pos", "n_chars").unionByName(copied.select("rec", F.lit(1).alias("start_pos"), F.col("n").alias("n_chars")))
 
 
 def record_shares(records: DataFrame, runs: DataFrame) -> DataFrame:
