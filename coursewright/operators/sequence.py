@@ -6,10 +6,14 @@ so is the work of a partition.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from coursewright.functions.text import estimate_tokens, margin_key
+from coursewright.functions.text import TOKENS_PER_PIECE, margin_key
 
 
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -83,38 +87,60 @@ def asof_last(events: DataFrame, marks: DataFrame, key: str, order: str, mark: s
     return both.filter("_k = 1").drop("_m", "_k")
 
 
+_PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]", re.ASCII)
+_CHUNKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.IntegerType())]))
+
+
+def _estimate(n_pieces: int) -> int:
+    return math.ceil(n_pieces * TOKENS_PER_PIECE)
+
+
+def _units(line: str, limit: int) -> list[tuple[str, int]]:
+    """A line with its estimated tokens; one that is too long in runs of words, each as long as fits."""
+    n = len(_PIECE.findall(line))
+    if _estimate(n) <= limit:
+        return [(line, _estimate(n))]
+    out: list[tuple[list[str], int]] = []
+    for word in re.split(r"\s+", line, flags=re.ASCII):
+        n = len(_PIECE.findall(word))
+        if out and _estimate(out[-1][1] + n) <= limit:
+            out[-1][0].append(word)
+            out[-1] = (out[-1][0], out[-1][1] + n)
+        else:
+            out.append(([word], n))
+    return [(" ".join(words), _estimate(n)) for words, n in out]
+
+
+def pack_lines(lines: list[str] | None, limit: int, least: int) -> list[dict]:
+    """``text, tokens`` of the chunks of a document's lines; one pass over the lines."""
+    chunks: list[list[tuple[str, int]]] = []
+    total = 0
+    for unit in (u for line in lines or [] for u in _units(line, limit)):
+        if not chunks or (total > 0 and total + unit[1] > limit):
+            chunks.append([])
+            total = 0
+        chunks[-1].append(unit)
+        total += unit[1]
+    size = lambda units: sum(t for _, t in units)
+    if len(chunks) > 1 and size(chunks[-1]) < least:
+        both, n, s = chunks[-2] + chunks[-1], 0, 0
+        half = size(both) / 2
+        while n < len(both) and (n == 0 or s + both[n][1] <= half):  # as many units as stay within half of both
+            s += both[n][1]
+            n += 1
+        if size(both[n:]) <= limit:
+            chunks[-2:] = [both[:n], both[n:]]
+    return [{"text": "\n".join(u for u, _ in c), "tokens": size(c)} for c in chunks if c]
+
+
 def greedy_chunks(lines: DataFrame, key: str, limit: int = 254, least: int = 80) -> DataFrame:
     """``key, chunk_no, text, tokens``: lines packed into chunks of at most ``limit`` estimated tokens, cut only between lines.
 
     A line that is too long is cut between words first.  A last chunk under
     ``least`` is evened out with the one before, if both parts then fit.  The
-    packing is a fold over the document's lines, inside the JVM.
+    packing is one Arrow pass over a document's lines, linear in its length.
     """
-    solid = lines.filter(F.trim("line") != "").select(key, "line_no", F.trim("line").alias("line"))
-    one = F.array(F.col("line"))
-    # a too long line: fold its words into pieces
-    pieces = F.aggregate(
-        F.split("line", r"\s+"), F.array().cast("array<string>"),
-        lambda acc, w: F.when((F.size(acc) > 0) & (estimate_tokens(F.concat(F.element_at(acc, -1), F.lit(" "), w)) <= limit), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), w)))).otherwise(F.concat(acc, F.array(w))),
-    )
-    units = solid.select(key, "line_no", F.posexplode(F.when(estimate_tokens(F.col("line")) <= limit, one).otherwise(pieces)).alias("part", "unit"))
-    listed = units.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "part", "unit", estimate_tokens(F.col("unit")).alias("t")))).alias("u"))
-    unit = "struct<unit:string,t:int>"
-    start = F.struct(F.array().cast(f"array<array<{unit}>>").alias("done"), F.array().cast(f"array<{unit}>").alias("cur"), F.lit(0).alias("sum"))
-
-    def pack(acc: Column, x: Column) -> Column:
-        item = F.array(F.struct(x["unit"].alias("unit"), x["t"].alias("t")))
-        full = (acc["sum"] > 0) & (acc["sum"] + x["t"] > limit)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(full, item).otherwise(F.concat(acc["cur"], item)).alias("cur"), F.when(full, x["t"]).otherwise(acc["sum"] + x["t"]).alias("sum"))
-
-    groups = listed.select(key, F.aggregate("u", start, pack, lambda acc: F.concat(acc["done"], F.array(acc["cur"]))).alias("g"))
-    size = lambda g: F.aggregate(g, F.lit(0), lambda a, x: a + x["t"])
-    g = F.col("g")
-    both = F.concat(F.element_at("g", -2), F.element_at("g", -1))
-    # as many units as stay within half of both
-    upto = F.aggregate(both, F.struct(F.lit(0).alias("n"), F.lit(0).alias("s")), lambda a, x: F.struct(F.when((a["n"] == 0) | (a["s"] + x["t"] <= size(both) / 2), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["s"] + x["t"]).alias("s")), lambda a: a["n"])
-    evened = F.concat(F.slice(g, 1, F.size(g) - 2), F.array(F.slice(both, F.lit(1), upto), F.slice(both, upto + 1, F.size(both))))
-    short = (F.size(g) > 1) & (size(F.element_at("g", F.when(F.size(g) > 1, -1).otherwise(1))) < least)
-    fits = size(F.slice(both, upto + 1, F.size(both))) <= limit
-    final = groups.select(key, F.when(F.size(g) < 2, g).when(short & fits, evened).otherwise(g).alias("g"))
-    return final.select(key, F.posexplode("g").alias("n", "c")).select(key, (F.col("n") + 1).alias("chunk_no"), F.array_join(F.transform("c", lambda x: x["unit"]), "\n").alias("text"), size(F.col("c")).alias("tokens"))
+    solid = lines.filter(F.trim("line") != "").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))).alias("u"))
+    pack = F.udf(lambda found: pack_lines(found, limit, least), _CHUNKS, useArrow=True)
+    packed = solid.select(key, F.posexplode(pack(F.transform("u", lambda x: x["line"]))).alias("n", "c"))
+    return packed.select(key, (F.col("n") + 1).alias("chunk_no"), "c.text", "c.tokens")

@@ -96,7 +96,12 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 class GraphStore:
-    """The four tables of a graph in versioned folders; a version counts once its name is written into ``CURRENT``, so a load that breaks off leaves the old graph."""
+    """The four tables of a graph in versioned folders.
+
+    A version counts once a pointer to it stands under ``pointers``, which is written
+    last and never changed: a load that breaks off leaves the old graph, and at no
+    moment is there none.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -106,19 +111,23 @@ class GraphStore:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def current(self) -> str | None:
+    def _pointers(self) -> list[str]:
+        """``<number>=<version>``, oldest first."""
         fs, path = self._fs()
-        if not fs.exists(path(f"{self.path}/CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        at = path(f"{self.path}/pointers")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def current(self) -> str | None:
+        pointers = self._pointers()
+        return pointers[-1].partition("=")[2] if pointers else None
 
     def save(self, tables: dict[str, DataFrame], version: str) -> None:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/{version}/{name}")
-        self.spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT.next")
+        last = self._pointers()
+        number = int(last[-1].partition("=")[0]) + 1 if last else 1
         fs, path = self._fs()
-        fs.delete(path(f"{self.path}/CURRENT"), True)
-        fs.rename(path(f"{self.path}/CURRENT.next"), path(f"{self.path}/CURRENT"))
+        fs.create(path(f"{self.path}/pointers/{number:09d}={version}"), False).close()
 
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.current()}/{name}")
