@@ -46,3 +46,25 @@ def stable_ids(df: DataFrame, prefix: str, group: str, order: list, out: str = "
     """Ids ``<group>_<prefix>_<nnnn>`` by place in the group."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.withColumn(out, F.format_string(f"%s_{prefix}_%04d", F.col(group), n))
+
+
+def free_ids(new: DataFrame, stored: DataFrame, key: str, order: list[str], out: str = "new_id") -> DataFrame:
+    """``new`` with an id of its own per row: ``key`` itself where it is free, else with the next free suffix (``_2``, ``_3``, ...).
+
+    ``stored``: the ids in use (``key``), suffixed ones among them.  Rows of one key are
+    numbered by ``order``.  A null key gets no id.
+    """
+    parts = stored.filter(F.col(key).isNotNull()).select(F.regexp_replace(key, "_[0-9]+$", "").alias("base"), F.col(key).alias("whole"))
+    number = F.coalesce(F.nullif(F.regexp_extract("whole", "_([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(1))
+    # an id that ends in a number is a base of its own as well as a suffixed one
+    taken = parts.select("base", number.alias("n")).unionByName(parts.select(F.col("whole").alias("base"), F.lit(1).alias("n"))).groupBy("base").agg(F.max("n").alias("_taken"))
+    placed = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    found = placed.join(taken.withColumnRenamed("base", key), key, "left").withColumn("_n", F.col("_n") + F.coalesce("_taken", F.lit(0)))
+    made = F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("_"), F.col("_n").cast("string")))
+    return found.withColumn(out, F.when(F.col(key).isNotNull(), made)).drop("_n", "_taken")
+
+
+def mark_used(bank: DataFrame, used: DataFrame, key: str, by: str) -> DataFrame:
+    """``bank`` with ``used_by``: the first user (``by``) of each row; null for rows nobody uses."""
+    first = used.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(by).alias("used_by"))
+    return bank.drop("used_by").join(first, key, "left")

@@ -9,6 +9,7 @@ from coursewright.functions import text as X
 from coursewright.operators import graph as G
 from coursewright.operators import layout as L
 from coursewright.operators import retrieval as R
+from coursewright.operators import sync as Y
 from coursewright.plans import retrieval_queries as V
 from coursewright.plans.registry import Registry
 from coursewright.plans.text_queries import _VERB_CASE
@@ -104,6 +105,23 @@ def read_page_by_ids(spark, d):
     return R.read_page(q.join(ids, "bank_id", "left_semi"), ["bank_id"], page=2, size=20)
 
 
+@query("""WITH t AS (SELECT doc_id, topic_id AS base, row_number() OVER (PARTITION BY topic_id ORDER BY doc_id) + CASE WHEN topic_id IN (SELECT topic_id FROM topics) THEN 1 ELSE 0 END AS n FROM documents WHERE topic_id IS NOT NULL)
+ SELECT doc_id, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS new_id FROM t""")
+def ids_on_collision(spark, d):
+    """Documents named by their topic, where the topics' own ids are taken."""
+    docs = table(spark, d, "documents").filter("topic_id is not null").select("doc_id", "topic_id")
+    return Y.free_ids(docs, table(spark, d, "topics").select("topic_id"), "topic_id", ["doc_id"]).select("doc_id", "new_id")
+
+
+@query("""WITH u AS (SELECT json_extract_string(s, '$.bank_id') AS bank_id, min(paper_id) AS used_by FROM (SELECT paper_id, unnest(json_extract(CASE WHEN json_valid(body) THEN body END, '$.slots[*]')) AS s FROM paper_files) GROUP BY 1), b AS (SELECT DISTINCT bank_id FROM generated_questions)
+ SELECT b.bank_id, u.used_by FROM b LEFT JOIN u USING (bank_id)""")
+def mark_bank_used(spark, d):
+    """Every question of the bank with the first paper that uses it."""
+    slots = table(spark, d, "paper_files").select("paper_id", F.explode(F.expr("try_variant_get(try_parse_json(body), '$.slots', 'array<variant>')")).alias("s"))
+    used = slots.select("paper_id", F.expr("try_variant_get(s, '$.bank_id', 'string')").alias("bank_id"))
+    return Y.mark_used(table(spark, d, "generated_questions").select("bank_id").distinct(), used, "bank_id", "paper_id")
+
+
 @query("SELECT coalesce(subject, '-') AS subject, count(*) AS n, count(DISTINCT section_title) AS titles, count(DISTINCT topic_id) AS topics FROM documents GROUP BY 1")
 def counts_per_subject(spark, d):
     return table(spark, d, "documents").groupBy(F.coalesce("subject", F.lit("-")).alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("section_title").alias("titles"), F.count_distinct("topic_id").alias("topics"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from coursewright.operators import graph as G
 from coursewright.operators import layout as L
 from coursewright.operators import retrieval as R
+from coursewright.operators import sync as Y
 from tests.conftest import rows
 
 
@@ -47,3 +48,12 @@ def test_tiers_and_pages(spark):
     assert got == [(1, 1, 11, 0), (1, 2, 10, 0), (1, 3, 12, 1), (2, 1, 14, 1)]
     ids = spark.range(10).toDF("i")
     assert rows(R.read_page(ids, ["i"], 2, 4)) == [(4,), (5,), (6,), (7,)] and rows(R.read_page(ids, ["i"], 9, 4)) == []
+
+
+def test_ids_on_collision_and_marks_of_use(spark):
+    new = spark.createDataFrame([("a", 2, "x"), ("a", 1, "x"), ("b", 1, "x"), ("c_2", 1, "x"), (None, 1, "x")], "id string, o int, base string")
+    stored = spark.createDataFrame([("a",), ("a_4",), ("c",), ("c_2",), (None,)], "id string")
+    assert rows(Y.free_ids(new, stored, "id", ["o"]), "id", "o", "new_id") == sorted([("a", 1, "a_5"), ("a", 2, "a_6"), ("b", 1, "b"), ("c_2", 1, "c_2_2"), (None, 1, None)], key=repr)
+    assert rows(Y.free_ids(new.filter("id = 'b'"), stored.limit(0), "id", ["o"]), "new_id") == [("b",)]
+    used = spark.createDataFrame([("p2", "a"), ("p1", "a"), ("p3", None)], "paper string, id string")
+    assert rows(Y.mark_used(stored, used, "id", "paper")) == sorted([("a", "p1"), ("a_4", None), ("c", None), ("c_2", None), (None, None)], key=repr)
